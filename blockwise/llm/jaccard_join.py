@@ -10,8 +10,8 @@ less one element (one-deletion neighbourhoods). Two sets that link share a signa
   a scheme, and a set takes part in its own band's and in the one below;
 * with whole segments, m = k + 1 + z: at least z + 1 agree. With one-deletion neighbourhoods
   m = k // 2 + 1 + z: at least z + 1 differ in one place at most;
-* segments with very few elements would be shared by many unlike sets. A set with at most z such
-  segments leaves them out (one that agrees is left); a set with more keeps all of its segments;
+* empty segments (with neighbourhoods: of one element too) would be shared by many unlike sets. A
+  set with at most z of them leaves them out (one that agrees is left); one with more keeps all;
 * the allocation (m, z, neighbourhoods or not) of each band is the one with the least estimated
   cost: signatures made, plus the expected use of very small segments.
 
@@ -46,7 +46,9 @@ from .textnum import U64, Texts, mix
 
 CELLS = 256
 #: Estimated cost of a set that keeps its small segments, in signatures.
-SMALL_SEGMENT_COST = 20_000
+SMALL_SEGMENT_COST = 2_000
+#: Elements of a very small segment, without and with one-deletion neighbourhoods.
+_SMALL = (0, 1)
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
@@ -80,21 +82,17 @@ class Schemes:
         while len(self.begins) < band + 2:
             self.band(self.begins[-1])
         lo, hi = self.begins[band], self.begins[band + 1] - 1
-        k = max(difference(a, b, self.percent) for a in {hi, max(lo, hi - 1)} for b in range(a, a * 100 // self.percent + 1))
-        if hi <= 64:
-            k = max(difference(a, b, self.percent) for a in range(lo, hi + 1) for b in range(a, a * 100 // self.percent + 1))
-        k += 0 if hi <= 64 else 2  # rounding within the band
+        most = hi + hi * 100 // self.percent  # both sizes together; the difference depends on that sum only, and rises but for rounding
+        k = max(difference(0, both, self.percent) for both in range(max(2 * lo, most - 60), most + 1))
         if k <= 0:
             return 0, 0, False
         best = (math.inf, (k + 1, 0, False))
         for deletions in (False, True):
-            for z in range(0, 33):
+            for z in sorted({*range(9), *(k * i // 40 for i in range(1, 20))}):
                 m = (k // 2 if deletions else k) + 1 + z
-                mean = lo / m
-                small = 2 if deletions else 1
-                p = _at_most(lo, 1 / m, small + deletions)
-                signatures = m * (1 + mean) if deletions else m
-                kept_small = _more_than(m, p, z) if lo > small else 1.0
+                small = _SMALL[deletions]
+                signatures = m + lo if deletions else m
+                kept_small = _more_than(m, _at_most(lo, 1 / m, small + deletions), z)
                 best = min(best, (signatures + SMALL_SEGMENT_COST * kept_small, (m, z, deletions)))
         return best[1]
 
@@ -115,7 +113,7 @@ class Schemes:
         sums = np.zeros(len(u) + 1, dtype=U64)
         np.cumsum(u, out=sums[1:])
         whole = sums[edges[1:]] - sums[edges[:-1]]
-        small = 2 if deletions else 1
+        small = _SMALL[deletions]
         keep = sizes > small if np.count_nonzero(sizes <= small + deletions) <= z else np.ones(m, dtype=bool)
         segment = np.arange(m)
         salt = mix((np.flatnonzero(keep) + (band << 32)).astype(U64))
@@ -135,11 +133,18 @@ def _edges(m: int) -> np.ndarray:
 
 
 def _at_most(n: int, p: float, most: int) -> float:
-    return min(1.0, sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(most + 1))) if p < 1 else float(n <= most)
+    """Chance of at most `most` successes in n trials."""
+    if p >= 1:
+        return float(n <= most)
+    if p <= 0:
+        return 1.0
+    choose = math.lgamma(n + 1)
+    logs = (choose - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(min(most, n) + 1))
+    return min(1.0, sum(map(math.exp, logs)))
 
 
 def _more_than(n: int, p: float, z: int) -> float:
-    return max(0.0, 1 - sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(z + 1)))
+    return 1 - _at_most(n, p, z)
 
 
 @lru_cache(maxsize=8)
@@ -190,28 +195,37 @@ def node_column(docs: DataFrame, node: str, n: int) -> DataFrame:
     return docs.mapInArrow(run, out)
 
 
-def _described(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, node, size, and at a node's first row in a task its signatures and parities."""
+def _described(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, node, size and parities of every row's set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, met = schemes(percent), set()
         for batch in sliced(batches, "text"):
-            nodes, sizes, signatures, cells = [], [], [], []
-            for u in sets(batch.column("text"), n):
-                sizes.append(len(u))
-                nodes.append(name_of(u) if len(u) else None)
-                fresh = len(u) > 0 and nodes[-1] not in met
-                signatures.append(plan.signatures(u).view(np.int64) if fresh else None)
-                cells.append(parities(u) if fresh else None)
-                if fresh and len(met) < 2_000_000:
-                    met.add(nodes[-1])
+            own = [(name_of(u), len(u), parities(u)) if len(u) else (None, 0, None) for u in sets(batch.column("text"), n)]
+            nodes, sizes, cells = zip(*own, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int64()))],
-                names=["doc_id", "node", "n", "signatures", "cells"],
+                [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64()))],
+                names=["doc_id", "node", "n", "cells"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n long, signatures array<long>, cells array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n long, cells array<long>")
+
+
+def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(signature, node) of every set, once in a task however many copies it reads there."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, met = schemes(percent), set()
+        for batch in sliced(batches, "text"):
+            signatures, nodes = [np.zeros(0, dtype=U64)], [np.zeros(0, dtype=np.int64)]
+            for u in sets(batch.column("text"), n):
+                if len(u) and (name := name_of(u)) not in met:
+                    signatures.append(plan.signatures(u))
+                    nodes.append(np.full(len(signatures[-1]), name, dtype=np.int64))
+                    if len(met) < 2_000_000:
+                        met.add(name)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signatures).view(np.int64)), pa.array(np.concatenate(nodes))], names=["signature", "node"])
+
+    return docs.select("text").mapInArrow(run, "signature long, node long")
 
 
 def _possible(percent: int):
@@ -227,11 +241,10 @@ def _possible(percent: int):
 
 def link_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, node, n_shingles and component_id of every row."""
-    told = stored(_described(docs, n, percent), "shingle-sets")
-    told_once = told.where(F.col("cells").isNotNull())
-    buckets = linking.shared(told_once.select("node", F.explode("signatures").alias("signature")))
+    told = stored(_described(docs, n), "shingle-sets")
+    buckets = linking.shared(_signed(docs, n, percent))
     of_interest = buckets.select("node").distinct()
-    nodes = told_once.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *[F.max(F.col("cells")[i]).alias(f"p{i}") for i in range(CELLS // 64)])
+    nodes = told.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *[F.max(F.col("cells")[i]).alias(f"p{i}") for i in range(CELLS // 64)])
     facts = stored(nodes.join(of_interest, "node", "left_semi"), "candidate-sets")
     wanted = facts.select(F.col("doc_id").alias("wanted")).distinct()
     wanted = F.broadcast(wanted) if facts.count() <= BROADCAST_ROWS else wanted
