@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import shared_path, sliced, small_or_not, stored
 from .tokens import encoder, with_end
 
-IDS_PER_FILE = 4_000_000
+IDS_PER_FILE = 1_000_000
 BLOCK = 512
 
 

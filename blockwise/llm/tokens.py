@@ -67,7 +67,7 @@ class HashTable:
         if 2 * (self.n + len(keys)) > len(self.keys):
             full = self.keys != 0
             keys, values = np.concatenate([self.keys[full], keys]), np.concatenate([self.values[full], values])
-            self.__init__(max(16, int(4 * len(keys)).bit_length()))
+            self.__init__(max(16, int(3 * len(keys)).bit_length()))
         self.n += len(keys)
         mask = U64(len(self.keys) - 1)
         at = keys & mask
@@ -128,7 +128,7 @@ class Encoder:
         if self.folds:
             pieces = [p.lower() for p in pieces]
         as_letters = [p.encode().decode("latin-1").translate(_LETTERS) for p in pieces]
-        ids = [x.ids for x in self.bare.encode_batch_fast(as_letters, add_special_tokens=False)]
+        ids = [x.ids for k in range(0, len(pieces), 4096) for x in self.bare.encode_batch_fast(as_letters[k : k + 4096], add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         flat = np.fromiter(chain.from_iterable(ids), dtype=self.kind, count=int(sizes.sum()))
         n = self.table.n
