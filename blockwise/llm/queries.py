@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, packing, quality_rules, sharding, token_files
+from . import decontamination, jaccard_join, packing, quality_classifier, quality_rules, sharding, token_files
 from .tokens import vocabulary
 
 
@@ -20,6 +20,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.STATISTICS, "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = jaccard_join.link_documents(_documents(spark, sf_dir), n=4, percent=85)
     return linked.select("doc_id", "n_shingles", "component_id")
@@ -42,6 +46,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_token_files": op6_token_files,
     "op7_sharding": op7_sharding,
