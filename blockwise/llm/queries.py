@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, packing, quality_classifier, quality_rules, sharding, token_files
+from . import decontamination, jaccard_join, packing, quality_classifier, quality_rules, sanitise, sharding, token_files
 from .tokens import vocabulary
 
 
@@ -24,6 +24,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.find(_documents(spark, sf_dir))
+    every = F.concat_ws(",", F.when(F.size("base") > 0, sanitise.joined("base")), F.when(F.size("terms") > 0, sanitise.joined("terms")))
+    return found.select("doc_id", *[f"n_{k}" for k in sanitise.KINDS], F.sha2(sanitise.joined("base"), 256).alias("base_sha256"), every.alias("spans"), F.size("terms").cast("long").alias("n_terms"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = jaccard_join.link_documents(_documents(spark, sf_dir), n=4, percent=85)
     return linked.select("doc_id", "n_shingles", "component_id")
@@ -47,6 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op3_sanitise": op3_sanitise,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_token_files": op6_token_files,
     "op7_sharding": op7_sharding,
