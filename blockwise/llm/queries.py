@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, packing, quality_classifier, quality_rules, sanitise, sharding, token_files
+from . import decontamination, jaccard_join, licences, packing, quality_classifier, quality_rules, sanitise, sharding, token_files
 from .tokens import vocabulary
 
 
@@ -30,6 +30,10 @@ def op3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in sanitise.KINDS], F.sha2(sanitise.joined("base"), 256).alias("base_sha256"), every.alias("spans"), F.size("terms").cast("long").alias("n_terms"))
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_documents(spark, sf_dir))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = jaccard_join.link_documents(_documents(spark, sf_dir), n=4, percent=85)
     return linked.select("doc_id", "n_shingles", "component_id")
@@ -54,6 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_sanitise": op3_sanitise,
+    "op4_licences": op4_licences,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_token_files": op6_token_files,
     "op7_sharding": op7_sharding,
@@ -62,4 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_licences": licences.oracle(),
+}
