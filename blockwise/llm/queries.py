@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, licences, packing, quality_classifier, quality_rules, sanitise, sharding, token_files
+from . import decontamination, jaccard_join, licences, line_dedup, packing, quality_classifier, quality_rules, sanitise, sharding, token_files
 from .tokens import vocabulary
 
 
@@ -24,6 +24,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(_documents(spark, sf_dir).select("doc_id", "text"), report=True)
+
+
 def op3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sanitise.find(_documents(spark, sf_dir))
     every = F.concat_ws(",", F.when(F.size("base") > 0, sanitise.joined("base")), F.when(F.size("terms") > 0, sanitise.joined("terms")))
@@ -57,6 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_line_dedup": op2_line_dedup,
     "op3_sanitise": op3_sanitise,
     "op4_licences": op4_licences,
     "op5_jaccard_join": op5_jaccard_join,
