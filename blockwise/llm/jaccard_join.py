@@ -17,7 +17,7 @@ less one element (one-deletion neighbourhoods). Two sets that link share a signa
 
 Candidates are checked exactly, on the sets. Equal sets are one node from the start, so copies make
 no pairs, and a task emits the signatures of a set once. Pairs are bounded by sizes and by the
-parities of 256 hash cells, a lower bound of the sets' difference, before sets are compared.
+parities of 512 hash cells, a lower bound of the sets' difference, before sets are compared.
 
 Nodes are named by 64 bits of two independent sums over the set, so two unlike sets would be taken
 for one with a chance of n * n / 2**65.
@@ -44,7 +44,7 @@ from . import linking
 from .common import BROADCAST_ROWS, free_name, sliced, stored
 from .textnum import U64, Texts, mix
 
-CELLS = 256
+CELLS = 512
 #: Estimated cost of a set that keeps its small segments, in signatures.
 SMALL_SEGMENT_COST = 2_000
 #: Elements of a very small segment, without and with one-deletion neighbourhoods.

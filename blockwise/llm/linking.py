@@ -1,10 +1,11 @@
 """Connected groups from shared signatures, without ever making all pairs of a group.
 
-Nodes that share a signature are candidates. First each is checked against the least node of its
-signature only; what these links connect is one component. Then, in the signatures that still hold
-several components, the pairs of different components that a cheap bound can't rule out are checked
-too. A pair left unchecked is thus in one component already, so the components are those of all
-links between candidates.
+Nodes that share a signature are candidates. In rounds, every signature's nodes are checked against
+one of them, the lead: at first the one that shares the most signatures, as the centre of a group
+does, then the like one outside the largest component that the signature holds. What these links
+connect is one component. At last, in the signatures that still hold several components, the pairs
+of different components that a cheap bound can't rule out are checked too. A pair left unchecked is
+thus in one component already, so the components are those of all links between candidates.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ Check = Callable[[DataFrame], DataFrame]
 
 
 def shared(signatures: DataFrame) -> DataFrame:
-    """Rows (signature, node) of the signatures that at least two nodes have, with the least of these as lead.
+    """Rows (signature, node) of the signatures that at least two nodes have.
 
     One shuffle by signature, of sixteen bytes a row; a frame over a signature spills, it isn't gathered.
     """
     by = W.partitionBy("signature")
-    led = signatures.withColumn("lead", F.min("node").over(by)).withColumn("last", F.max("node").over(by))
-    return stored(led.where("lead < last").drop("last").distinct(), "shared-signatures")
+    led = signatures.withColumn("first", F.min("node").over(by)).withColumn("last", F.max("node").over(by))
+    return stored(led.where("first < last").select("signature", "node").distinct(), "shared-signatures")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -51,7 +52,27 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def connect(buckets: DataFrame, facts: DataFrame, possible: Callable[[str, str], Column], check: Check) -> tuple[DataFrame, DataFrame]:
+def _split(held: DataFrame) -> DataFrame:
+    """The rows of signatures that hold several components."""
+    ends = held.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("signature")
+    return held.join(ends, "signature", "left_semi")
+
+
+def _leads(held: DataFrame, first: bool) -> DataFrame:
+    """Pairs (a, b) of every signature's lead and its nodes of other components. held: signature, node, component, degree."""
+    rank = F.struct("degree", -F.col("node"))
+    if first:
+        leads = held.groupBy("signature").agg(F.max_by(F.struct("node", "component"), rank).alias("lead"))
+    else:
+        sizes = held.groupBy("signature", "component").agg(F.count("*").alias("n"), F.max_by("node", rank).alias("node"), F.max("degree").alias("degree"))
+        main = sizes.groupBy("signature").agg(F.max(F.struct("n", "component")).alias("main"))
+        outside = sizes.join(main, "signature").where(F.col("component") != F.col("main.component"))
+        leads = outside.groupBy("signature").agg(F.max_by(F.struct("node", "component"), rank).alias("lead"))
+    pairs = held.join(leads, "signature").where(F.col("component") != F.col("lead.component"))
+    return pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+
+
+def connect(buckets: DataFrame, facts: DataFrame, possible: Callable[[str, str], Column], check: Check, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """Components and checked links of the nodes in `buckets`, which shared() made.
 
     facts: one row per node with what `possible` needs; possible(x, y): a Column over columns with
@@ -62,16 +83,19 @@ def connect(buckets: DataFrame, facts: DataFrame, possible: Callable[[str, str],
         both = pairs.join(first, pairs["a"] == first["x_node"]).join(second, F.col("b") == second["y_node"])
         return both.where(possible("x_", "y_")).select("a", "b")
 
-    star = buckets.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(check(stored(paired(star), "star-pairs")), "star-links")
-    own = components(links)
-    held = buckets.drop("lead").join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    by = W.partitionBy("signature")
-    split = held.withColumn("lo", F.min("component").over(by)).withColumn("hi", F.max("component").over(by)).where("lo < hi").drop("lo", "hi")
-    split = stored(split.join(facts, "node"), "split-signatures")
+    held = buckets.join(buckets.groupBy("node").agg(F.count("*").alias("degree")), "node").withColumn("component", F.col("node"))
+    tried = links = None
+    for k in range(rounds):
+        pairs = _leads(held, k == 0)
+        pairs = stored(paired(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")), "lead-pairs")
+        found = stored(check(pairs), "lead-links")
+        tried, links = (pairs, found) if tried is None else (tried.union(pairs), links.union(found))
+        own = components(links)
+        held = stored(_split(held.drop("component").join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))), "split-signatures")
+    split = held.drop("degree").join(facts, "node")
     x, y = (split.select("signature", *[F.col(c).alias(p + c) for c in split.columns if c != "signature"]) for p in ("x_", "y_"))
     across = x.join(y, "signature").where((F.col("x_node") < F.col("y_node")) & (F.col("x_component") != F.col("y_component")) & possible("x_", "y_"))
     rest = across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
-    rest = stored(rest.join(star, ["a", "b"], "left_anti"), "cross-pairs")
+    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
     every = stored(links.union(check(rest)), "checked-links")
     return components(every), every
