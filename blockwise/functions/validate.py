@@ -188,7 +188,7 @@ def split(df: DataFrame, rules: list[Column]) -> tuple[DataFrame, DataFrame]:
 def require(df: DataFrame, rules: list[Column]) -> DataFrame:
     """df, which fails at run time at its first invalid row."""
     both = checked(df, rules)
-    return both.withColumn("issues", F.when(F.size("issues") > 0, F.raise_error(F.to_json("issues")).cast(f"array<{ISSUE}>"))).drop("issues")
+    return both.where(F.when(F.size("issues") > 0, F.raise_error(F.to_json("issues")).cast("boolean")).otherwise(True)).drop("issues")
 
 
 def scopes_equal(left: str, right: str) -> Column:
