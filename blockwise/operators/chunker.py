@@ -193,25 +193,24 @@ class Splitter:
         self.gaps = np.array([m.start() for m in runs], dtype=np.int64)
         self.gap_starts = [m.start() for m in runs]
         self.gap_ends = [m.end() for m in runs]
+        self.after_gaps = np.array(self.gap_ends, dtype=np.int64)
 
     def _trimmed(self, start: int, cuts: np.ndarray) -> np.ndarray:
         """The cuts moved back over white space that ends there, but not before start."""
-        k = np.searchsorted(np.array(self.gap_ends, dtype=np.int64), cuts, "left")
         if not self.gap_starts:
             return cuts
+        k = np.searchsorted(self.after_gaps, cuts, "left")
         near = np.minimum(k, len(self.gap_starts) - 1)
         inside = (k < len(self.gap_starts)) & (self.gaps[near] < cuts)
         return np.maximum(np.where(inside, self.gaps[near], cuts), start)
 
     def _best(self, start: int, cuts: np.ndarray) -> tuple[int, int] | None:
         """Of all cuts that fit, the one nearest the target, the later of two as near."""
+        cuts = cuts[: np.searchsorted(cuts, self._reach(start), "right")]
         ends = self._trimmed(start, cuts)
         cuts, ends = cuts[ends > start], ends[ends > start]
         if not len(cuts):
             return None
-        if self.counter.sums is not None:  # counts only rise: those that fit come first
-            most = int(np.searchsorted(self.counter.many(start, ends), self.options.maxTokens, "right"))
-            cuts, ends = cuts[:most], ends[:most]
         counts = self.counter.many(start, ends)
         apart = np.where(counts <= self.options.maxTokens, np.abs(counts - self.options.targetTokens), np.iinfo(np.int64).max)
         if not len(apart) or apart.min() == np.iinfo(np.int64).max:
@@ -219,6 +218,14 @@ class Splitter:
         k = len(apart) - 1 - int(np.argmin(apart[::-1]))
         return int(ends[k]), int(cuts[k])
 
+    def _reach(self, start: int) -> int:
+        """No cut beyond this can fit: known where counts only rise, else the paragraph's end."""
+        if self.counter.sums is None:
+            return self.span.end
+        far = self.counter.sums.farthest(start, self.options.maxTokens)
+        k = bisect_right(self.gap_starts, far) - 1
+        return max(far, self.gap_ends[k]) if k >= 0 else far
+
     def _window(self, cuts: np.ndarray, start: int) -> np.ndarray:
         return cuts[np.searchsorted(cuts, start, "right") :]
 
@@ -235,7 +242,7 @@ class Splitter:
             if rest > at and self.counter.one(at, rest) <= limit:
                 out.append(Span("paragraph", at, rest))
                 break
-            found = self._best(at, self._window(self.sentences, at)) or self._best(at, self._window(self.gaps, at)) or self._best(at, np.arange(at + 1, span.end + 1)) or (at + 1, at + 1)
+            found = self._best(at, self._window(self.sentences, at)) or self._best(at, self._window(self.gaps, at)) or self._best(at, np.arange(at + 1, min(span.end, self._reach(at)) + 1)) or (at + 1, at + 1)
             out.append(Span("paragraph", at, found[0]))
             at = max(found[1], at + 1)
         return out or [span]

@@ -33,6 +33,11 @@ class SliceCounts:
         more = int(self.carried[start]) if self.carried is not None and start < len(self.carried) else 0
         return np.where(ends > start, self.sums[ends] - self.sums[start] + more, 0)
 
+    def farthest(self, start: int, most: int) -> int:
+        """The last end up to which a slice from start counts at most `most`."""
+        more = int(self.carried[start]) if self.carried is not None and start < len(self.carried) else 0
+        return int(np.searchsorted(self.sums, self.sums[start] + most - more, "right")) - 1
+
 
 class CodePoints:
     """One token a code point."""
