@@ -179,3 +179,36 @@ def test_stream_equals_batch(spark, tmp_path):
         rows.where("key >= 3").write.mode("append").parquet(f"{tmp_path}/in") if _ == 0 else None
     got, want = spark.read.parquet(f"{tmp_path}/out"), chunk(ingest.ingest(rows), Words(), options)
     assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect())
+
+
+def test_providers(spark):
+    import math
+
+    from blockwise.sources.providers import FakeModel, Lexical, Static
+
+    rows = [("a", "t", "w", None, "red fox runs"), ("b", "t", "w", None, "red red house, far from here"), ("c", "x", "w", None, "fox"), ("d", "t", "w", "p", "fox")]
+    blocks = spark.createDataFrame(rows, "id string, tenantId string, workspaceId string, projectId string, content string")
+    requests = spark.createDataFrame([("r", "t", "w", None, "Fox, RED!")], "request_id string, tenantId string, workspaceId string, projectId string, query string")
+    assert sorted(r.id for r in Static(blocks).candidates(requests).collect()) == ["a", "b"]
+    mean, idf = 11 / 4, lambda df: math.log(1 + (4 - df + 0.5) / (df + 0.5))
+    part = lambda tf, n, df: idf(df) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))
+    got = {r.id: r.score for r in Lexical(blocks).scores(requests).collect()}
+    assert got == pytest.approx({"a": part(1, 3, 2) + part(1, 3, 3), "b": part(2, 6, 2)})
+    best = Lexical(blocks, most=1).candidates(requests).collect()
+    assert [(r.id, r.relevance, r.providerId) for r in best] == [("a", 1.0, "lexical-bm25")]
+    assert FakeModel(lambda q, c: f"{q}:{len(c)}").answer("q", "abc") == "q:3"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from blockwise.__main__ import main
+
+    assert main(["version"]) == 0 and capsys.readouterr().out.strip()
+    (tmp_path / "notes").mkdir()
+    (tmp_path / "notes/a.md").write_text("# T\nBody text.")
+    assert main(["inspect-blocks", str(tmp_path / "notes"), str(tmp_path / "blocks")], spark) == 0
+    assert spark.read.json(str(tmp_path / "blocks")).first().content == "Body text."
+    spark.createDataFrame([("r", "t", "w", None, 10, 0, None, None, None)], REQUEST).write.parquet(f"{tmp_path}/req")
+    spark.createDataFrame([candidate("a", 5), candidate("b", 6)], CANDIDATE).write.parquet(f"{tmp_path}/cand")
+    assert main(["compile", f"{tmp_path}/req", f"{tmp_path}/cand", f"{tmp_path}/out"], spark) == 0
+    assert main(["trace", f"{tmp_path}/out", "r"], spark) == 0 and "EXCLUDED_BUDGET" in capsys.readouterr().out
+    assert main(["eval", f"{tmp_path}/out"], spark) == 0 and "median" in capsys.readouterr().out
