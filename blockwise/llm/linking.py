@@ -2,8 +2,8 @@
 
 Nodes that share a signature are candidates. In rounds, every signature's nodes are checked against
 one of them, the lead: at first the one that shares the most signatures, as the centre of a group
-does, then the like one outside the largest component that the signature holds. What these links
-connect is one component. At last, in the signatures that still hold several components, the pairs
+does, in further rounds the like one outside the largest component that the signature holds. What
+these links connect is one component. At last, in the signatures that still hold several components, the pairs
 of different components that a cheap bound can't rule out are checked too. A pair left unchecked is
 thus in one component already, so the components are those of all links between candidates.
 """
@@ -72,7 +72,7 @@ def _leads(held: DataFrame, first: bool) -> DataFrame:
     return pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
 
 
-def connect(buckets: DataFrame, facts: DataFrame, possible: Callable[[str, str], Column], check: Check, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def connect(buckets: DataFrame, facts: DataFrame, possible: Callable[[str, str], Column], check: Check, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
     """Components and checked links of the nodes in `buckets`, which shared() made.
 
     facts: one row per node with what `possible` needs; possible(x, y): a Column over columns with
@@ -90,12 +90,14 @@ def connect(buckets: DataFrame, facts: DataFrame, possible: Callable[[str, str],
         pairs = stored(paired(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")), "lead-pairs")
         found = stored(check(pairs), "lead-links")
         tried, links = (pairs, found) if tried is None else (tried.union(pairs), links.union(found))
-        own = components(links)
+        own = components(found if k == 0 else found.union(own.select(F.col("component").alias("a"), F.col("node").alias("b"))))
         held = stored(_split(held.drop("component").join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))), "split-signatures")
     split = held.drop("degree").join(facts, "node")
     x, y = (split.select("signature", *[F.col(c).alias(p + c) for c in split.columns if c != "signature"]) for p in ("x_", "y_"))
     across = x.join(y, "signature").where((F.col("x_node") < F.col("y_node")) & (F.col("x_component") != F.col("y_component")) & possible("x_", "y_"))
     rest = across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
     rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
-    every = stored(links.union(check(rest)), "checked-links")
-    return components(every), every
+    new = stored(check(rest), "cross-links")
+    if new.isEmpty():
+        return own, links
+    return components(new.union(own.select(F.col("component").alias("a"), F.col("node").alias("b")))), links.union(new)
