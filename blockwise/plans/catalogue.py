@@ -44,7 +44,7 @@ def word_count(column: str = "text"):
 
 
 _WORDS = f"len(list_filter(string_split_regex(text, '{_CLASS}+'), lambda x: x != ''))"
-_DOC_ID = """'source-document:sha256:' || sha256(json_array('ctxalloc-source-document-id', 1, 'local', 'default', {project}, '{kind}', '{namespace}', {key})::VARCHAR)"""
+_DOC_ID = f"""'source-document:sha256:' || sha256(json_array('{identity.DOCUMENT_KIND}', {identity.ALGORITHM}, 'local', 'default', {{project}}, '{{kind}}', '{{namespace}}', {{key}})::VARCHAR)"""
 
 
 def ingest_documents(spark, sf_dir):
@@ -284,7 +284,7 @@ SELECT doc_id, line::BIGINT AS line, start::BIGINT AS start_offset, length(regex
     "chunk_documents": f"SELECT doc_id, length(regexp_replace(text, '{_CLASS}', '', 'g')) AS solid_characters, true AS within_limit FROM documents WHERE length(regexp_replace(text, '{_CLASS}', '', 'g')) > 0",
     "block_ids": f"""WITH r AS (SELECT doc_id, lang, 'source-document:sha256:' || sha256(lang) AS document, {_HASH.format('text')} AS content_hash FROM documents),
 o AS (SELECT *, row_number() OVER (PARTITION BY document, content_hash ORDER BY doc_id) - 1 AS occurrence FROM r)
-SELECT doc_id, content_hash, occurrence, 'context-block:sha256:' || sha256(json_array('ctxalloc-context-block-id', 1, document, json_array(lang), content_hash, occurrence)::VARCHAR) AS id FROM o""",
+SELECT doc_id, content_hash, occurrence, 'context-block:sha256:' || sha256(json_array('{identity.BLOCK_KIND}', {identity.ALGORITHM}, document, json_array(lang), content_hash, occurrence)::VARCHAR) AS id FROM o""",
     "budget_arith": """WITH r AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS t, o_orderkey % 200000 AS a, CASE WHEN o_custkey % 2 = 0 THEN o_custkey END AS b, CASE WHEN o_orderkey % 3 = 0 THEN -1 END AS c FROM orders)
 SELECT o_orderkey, (a + coalesce(b, 0) + coalesce(c, 0))::BIGINT AS reserved, (t - a - coalesce(b, 0) - coalesce(c, 0))::BIGINT AS available,
 concat_ws(',', CASE WHEN c < 0 THEN 'reservedToolTokens' END, CASE WHEN a + coalesce(b, 0) + coalesce(c, 0) > t THEN 'totalTokens' END) AS issues FROM r""",
