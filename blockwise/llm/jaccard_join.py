@@ -239,8 +239,8 @@ def _possible(percent: int):
     return possible
 
 
-def link_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, node, n_shingles and component_id of every row."""
+def _linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, node, n_shingles, component and component_id of every row; a component is named by one of its nodes."""
     told = stored(_described(docs, n), "shingle-sets")
     buckets = linking.shared(_signed(docs, n, percent))
     of_interest = buckets.select("node").distinct()
@@ -273,19 +273,25 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     least = told.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = least.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_node = stored(named.join(smallest, "component").select("node", "component_id"), "components")
+    of_node = stored(named.join(smallest, "component").select("node", "component", "component_id"), "components")
     return told.select("doc_id", "node", F.col("n").alias("n_shingles")).join(of_node, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
 
 
+def link_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, node, n_shingles and component_id of every row."""
+    return _linked(docs, n, percent).drop("component")
+
+
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that name their component, with the columns of docs; all rows without words.
+    """One row of every component, with the columns of docs; all rows without words.
 
-    Of rows alike in doc_id and set, one stays. Where all doc_ids of a component are null, one of its sets stays.
+    It is one of the component's least doc_id, nulls last; of unlike sets under that doc_id, the one of the least node.
     """
     node, mark = free_name(docs, "set_node"), free_name(docs, "stays")
-    linked = link_documents(docs, n, percent).where("node is not null")
-    chosen = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(mark)).agg(F.min("node").alias(node))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node")
+    first = _linked(docs, n, percent).where("node is not null").groupBy("component").agg(F.min(order).alias("first"))
+    chosen = first.select(F.col("first.doc_id").alias(mark), F.col("first.node").alias(node))
     rows = node_column(docs, node, n)
     wordless = rows.where(F.col(node).isNull()).drop(node)
-    stays = rows.where(F.col(node).isNotNull()).join(chosen.where(F.col(mark).isNotNull()), (F.col("doc_id") == F.col(mark)) & (rows[node] == chosen[node]), "left_semi")
+    stays = rows.where(F.col(node).isNotNull()).join(chosen, rows["doc_id"].eqNullSafe(chosen[mark]) & (rows[node] == chosen[node]), "left_semi")
     return stays.dropDuplicates(["doc_id", node]).drop(node).unionByName(wordless)

@@ -95,6 +95,13 @@ def test_keep_one(spark):
     assert jj.keep_one(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_keep_one_of_null_and_shared_doc_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcd")
+    rows = [(None, a, "x", 1), (None, a + " end", "x", 2), (1, b, "x", 3), (1, c, "x", 4), (2, b + " end", "x", 5), (3, c + " end", "x", 6), (None, d, "x", 7), (9, d, "x", 8)]
+    got = jj.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id or 0, r.text[0]) for r in got) == [(0, "a"), (1, "b"), (1, "c"), (9, "d")]
+
+
 def test_hot_groups_stay_whole(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join([*words, f"own{i}"]), "x", 1) for i in range(400)] + [(1000 + i, "copied words " * 10, "x", 1) for i in range(400)]
