@@ -25,7 +25,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(_documents(spark, sf_dir).select("doc_id", "text"), report=True)
+    return line_dedup.dedup(_documents(spark, sf_dir).select("doc_id", "text"), report=True, whole=True)
 
 
 def op3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
