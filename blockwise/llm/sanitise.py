@@ -2,7 +2,8 @@
 
 Protected entities are found by pattern: e-mail and IP addresses, card numbers that pass Luhn's
 check, phone numbers. Then corpus co-occurrence tells which terms (runs of letters) give an entity
-away where they stand near it, within CONTEXT characters. With p(e) the share of an entity's
+away where they stand near it, within CONTEXT characters of the text on either side, whatever else
+is found there. With p(e) the share of an entity's
 occurrences among all terms, IC(e) = -log2 p(e) and PMI(t, e) = log2(p(e | t) / p(e)), the share of
 the entity's information that a term discloses is PMI / IC, which is 1 where the term never stands
 anywhere else. A pair seen at least `support` times discloses; from `generalise` on the term is
@@ -14,7 +15,8 @@ BROADCAST_ROWS all terms are counted, partially at first, and joined.
 
 Patterns are written so that no text makes them slow or deep: possessive where nothing could be
 given back, and beginning only where a run does. Positions are sums of the lengths of matches and
-of what is between them, in code points, summed in lots so that many matches stay cheap.
+of what is between them, in code points, summed in lots so that many matches stay cheap. Surroundings are cut from pieces of PIECE code points
+for the same reason.
 
 Defined cases: a null text counts as empty and has no spans; equal texts have equal spans, whatever
 their doc_id; repeated rows each give a row; spans of different kinds may overlap; an empty table
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, free_name, small_or_not, stored
 
 CONTEXT = 120
+PIECE = 1024
 LOT = 128
 KINDS = ("email", "ip", "card", "phone")
 
@@ -63,6 +66,12 @@ def _starts(steps: str) -> list[dict[str, str]]:
     ]
 
 
+def _part(start: str, size: str) -> str:
+    """At most `size` code points of the text from `start` on, out of the two pieces that hold them."""
+    piece = f"int(({start}) div {PIECE})"
+    return f"substring(concat(coalesce(get(pieces, {piece}), ''), coalesce(get(pieces, {piece} + 1), '')), int(({start}) % {PIECE} + 1), int({size}))"
+
+
 def _with(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr("*", *[f"{e} AS {n}" for n, e in columns.items()])
 
@@ -73,12 +82,15 @@ def _entities(df: DataFrame, kind: str) -> DataFrame:
     pattern, mark = PATTERNS[kind], _MARKS[kind]
     df = _with(df, {"found": f"CASE WHEN {mark} THEN regexp_extract_all(body, R'{pattern}', 0) ELSE cast(array() AS array<string>) END"})
     df = _with(df, {"gaps": f"CASE WHEN size(found) > 0 THEN split(body, R'{pattern}', -1) ELSE cast(array() AS array<string>) END"})
-    df = _with(df, {"head": "slice(gaps, 1, size(found))", "tail": "slice(gaps, 2, size(found))"})
-    df = _with(df, {"steps": f"transform(arrays_zip(found, head, tail), x -> named_struct('value', x.found, 'size', length(x.found), 'gap', length(x.head), 'left', right(x.head, {CONTEXT}), 'right', left(x.tail, {CONTEXT}), 'left_cut', length(x.head) > {CONTEXT}, 'right_cut', length(x.tail) > {CONTEXT}))"})
+    df = _with(df, {"head": "slice(gaps, 1, size(found))"})
+    df = _with(df, {"steps": "transform(arrays_zip(found, head), x -> named_struct('value', x.found, 'size', length(x.found), 'gap', length(x.head)))"})
     for columns in _starts("steps"):
         df = _with(df, columns)
     df = _with(df, {"placed": "arrays_zip(starts, steps)"})
-    df = _with(df, {"own": f"filter(transform(placed, p -> named_struct('kind', '{kind}', 'value', p.steps.value, 'start', p.starts, 'end', p.starts + p.steps.size, 'left', p.steps.left, 'right', p.steps.right, 'left_cut', p.steps.left_cut, 'right_cut', p.steps.right_cut)), x -> {_VALID[kind]})"})
+    df = _with(df, {"valid": f"filter(transform(placed, p -> named_struct('kind', '{kind}', 'value', p.steps.value, 'start', p.starts, 'end', p.starts + p.steps.size)), x -> {_VALID[kind]})"})
+    df = _with(df, {"pieces": f"CASE WHEN size(valid) > 0 THEN regexp_extract_all(body, R'(?s).{{1,{PIECE}}}', 0) ELSE cast(array() AS array<string>) END"})
+    left, right = _part("greatest(x.start - {0}, 0L)".format(CONTEXT), f"least(x.start, {CONTEXT}L)"), _part("x.end", f"{CONTEXT}L")
+    df = _with(df, {"own": f"transform(valid, x -> named_struct('kind', x.kind, 'value', x.value, 'start', x.start, 'end', x.end, 'left', {left}, 'right', {right}, 'left_cut', x.start > {CONTEXT}, 'right_cut', length(body) > x.end + {CONTEXT}))"})
     return df.selectExpr(*keep, f"own AS {kind}")
 
 

@@ -112,6 +112,37 @@ def test_disclosing_terms_equal_a_plain_count(spark):
     assert all("Zorblax" not in t and "@" not in t and "[EMAIL]" in t and "winter" in t for t in clean.values())
 
 
+def disclosed_by_position(rows, support, generalise):
+    """The rule by plain counting over 120 characters on both sides, whatever stands there."""
+    near, entities, terms = [], Counter(), Counter()
+    for i, text in rows:
+        words = list(re.finditer(r"[^\W\d_]+", text))
+        terms.update(w[0].lower() for w in words)
+        for kind, a, b, value in plain(text):
+            entities[kind, value] += 1
+            for m in words:
+                if len(m[0]) > 2 and (a - 120 <= m.start() and m.end() < a or b < m.start() and m.end() <= b + 120):
+                    cut = m.start() == a - 120 > 0 or m.end() == b + 120 < len(text)
+                    near += [] if cut else [(i, kind, value, m[0].lower(), m.start(), m.end())]
+    pairs, total = Counter(x[1:4] for x in near), sum(terms.values())
+    share = lambda kind, value, term: 1 + math.log2(min(1, pairs[kind, value, term] / terms[term])) / math.log2(total / entities[kind, value])
+    return {(i, a, b) for i, kind, value, term, a, b in near if pairs[kind, value, term] >= support and share(kind, value, term) >= generalise}
+
+
+def test_terms_beyond_neighbouring_matches_count(spark):
+    rng = random.Random(4)
+    filler = ["river", "stone", "winter", "meadow", "lantern", "quiet", "harbour", "😀 été"]
+    rows = []
+    for i in range(40):
+        body = lambda: " ".join(rng.choice(filler) for _ in range(rng.choice([0, 3, 18, 60, 400])))
+        rows.append((i, f"{body()} 4111 1111 1111 1111 exp 12/27 holder Zorblax {body()}" if i % 2 else f"{body()} Quorvex {i}@b.example x{i}@c.example, +44 20 7946 0958 me@d.example Trimbly {body()}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, s.start, s.end) for r in sanitise.find(docs).collect() for s in r.terms}
+    assert got == disclosed_by_position(rows, 3, 0.9)
+    texts = dict(rows)
+    assert {"Zorblax", "Quorvex", "Trimbly"} <= {texts[i][a:b] for i, a, b in got}
+
+
 def test_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert sanitise.find(docs).collect() == [] and sanitise.redact(docs).collect() == []
