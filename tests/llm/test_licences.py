@@ -1,6 +1,9 @@
 import hashlib
+import re
+from pathlib import Path
 
 import duckdb
+import pytest
 
 from blockwise.llm import licences, queries
 
@@ -31,3 +34,14 @@ def test_equals_duckdb(spark):
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     want = duck.execute(licences.oracle()).fetchall()
     assert sorted(map(str, map(tuple, queries.op4_licences(spark, SF).collect()))) == sorted(map(str, want))
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/Apache-2.0").exists(), reason="needs the system's licence texts")
+def test_whole_standard_texts(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = [(name, Path(f"/usr/share/common-licenses/{file}").read_text()) for file, name in names.items()]
+    apache = rows[0][1]
+    rows.append(("Apache-2.0", apache[: apache.index("APPENDIX")].upper()))
+    rows.append(("Apache-2.0", "\n".join(" ".join(x.split()) for x in re.split(r"\n\s*\n", apache))))
+    got = licences.scan(spark.createDataFrame([(*r,) for r in rows] + [("none", apache + "and more")], "doc_id string, text string")).collect()
+    assert sorted((r.doc_id, r.licence or "none") for r in got) == sorted([(n, n) for n, _ in rows] + [("none", "none")])
