@@ -11,9 +11,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows up to which a table of a few longs may be broadcast (about 16 MB); beyond it the plan shuffles.
 BROADCAST_ROWS = 500_000
+#: Bytes, by count of its numbers, up to which a stored table is broadcast.
+BROADCAST_BYTES = 16 << 20
 #: Bytes of text that one numpy step holds; its arrays take some forty times as much.
 CHUNK_BYTES = 2 << 20
 
@@ -40,12 +43,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._blockwise_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more."""
+    for table in tables:
+        spark, path = table.sparkSession, table._blockwise_path
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small_or_not(df: DataFrame) -> DataFrame:
-    """Mark a stored table for broadcast if it is counted to be small; otherwise the join shuffles."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Mark a stored table of numbers and arrays of them for broadcast if it is counted to be small; otherwise the join shuffles."""
+    wide = [f for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    width = [len(f.dataType.elementType.fields) if isinstance(f.dataType.elementType, T.StructType) else 1 for f in wide]
+    rows, *inner = df.agg(F.count("*"), *[F.coalesce(F.sum(F.size(f.name)), F.lit(0)) for f in wide]).first()
+    longs = rows * sum(len(f.dataType.fields) if isinstance(f.dataType, T.StructType) else 1 for f in df.schema.fields) + sum(n * w for n, w in zip(inner, width, strict=True))
+    return F.broadcast(df) if 8 * longs <= BROADCAST_BYTES else df
 
 
 def free_name(df: DataFrame, stem: str) -> str:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 Check = Callable[[DataFrame], DataFrame]
 
@@ -45,14 +45,15 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("x"), "m").union(down.select(F.col("u").alias("x"), "m"))
-        links = stored(small.where("x != m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "links")
+        before, links = links, stored(small.where("x != m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "links")
+        discard(before)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select("v", "v").distinct())
         state = now
 
 
-def _split(held: DataFrame) -> DataFrame:
+def split(held: DataFrame) -> DataFrame:
     """The rows of signatures that hold several components."""
     ends = held.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("signature")
     return held.join(ends, "signature", "left_semi")
@@ -91,9 +92,9 @@ def connect(buckets: DataFrame, facts: DataFrame, possible: Callable[[str, str],
         found = stored(check(pairs), "lead-links")
         tried, links = (pairs, found) if tried is None else (tried.union(pairs), links.union(found))
         own = components(found if k == 0 else found.union(own.select(F.col("component").alias("a"), F.col("node").alias("b"))))
-        held = stored(_split(held.drop("component").join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))), "split-signatures")
-    split = held.drop("degree").join(facts, "node")
-    x, y = (split.select("signature", *[F.col(c).alias(p + c) for c in split.columns if c != "signature"]) for p in ("x_", "y_"))
+        held = stored(split(held.drop("component").join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))), "split-signatures")
+    rows = held.drop("degree").join(facts, "node")
+    x, y = (rows.select("signature", *[F.col(c).alias(p + c) for c in rows.columns if c != "signature"]) for p in ("x_", "y_"))
     across = x.join(y, "signature").where((F.col("x_node") < F.col("y_node")) & (F.col("x_component") != F.col("y_component")) & possible("x_", "y_"))
     rest = across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
     rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
