@@ -18,7 +18,7 @@ BROADCAST_ROWS = 500_000
 #: Bytes, by count of its numbers, up to which a stored table is broadcast.
 BROADCAST_BYTES = 16 << 20
 #: Bytes of text that one numpy step holds; its arrays take some forty times as much.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:

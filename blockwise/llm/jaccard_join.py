@@ -38,10 +38,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import linking
-from .common import BROADCAST_ROWS, free_name, sliced, stored
+from .common import BROADCAST_ROWS, free_name, sliced, small_or_not, stored
 from .textnum import U64, Texts, mix
 
 CELLS = 512
@@ -183,20 +182,12 @@ def parities(u: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
-def node_column(docs: DataFrame, node: str, n: int) -> DataFrame:
-    """docs with the node of each row's set, null without words."""
-    out = T.StructType([*docs.schema.fields, T.StructField(node, T.LongType())])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
-            names = [name_of(u) if len(u) else None for u in sets(batch.column("text"), n)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64())], names=out.names)
-
-    return docs.mapInArrow(run, out)
+def _key() -> Column:
+    return F.xxhash64("doc_id", "text")
 
 
 def _described(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, node, size and parities of every row's set."""
+    """row (a hash of doc_id and text), doc_id, node, size and parities of every row's set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,11 +195,11 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
             own = [(name_of(u), len(u), parities(u)) if len(u) else (None, 0, None) for u in sets(batch.column("text"), n)]
             nodes, sizes, cells = zip(*own, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64()))],
-                names=["doc_id", "node", "n", "cells"],
+                [batch.column("row"), batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64()))],
+                names=["row", "doc_id", "node", "n", "cells"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n long, cells array<long>")
+    return docs.select(_key().alias("row"), "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, node long, n long, cells array<long>")
 
 
 def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -240,7 +231,7 @@ def _possible(percent: int):
 
 
 def _linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, node, n_shingles, component and component_id of every row; a component is named by one of its nodes."""
+    """row, doc_id, node, n_shingles, component and component_id of every row; a component is named by one of its nodes."""
     told = stored(_described(docs, n), "shingle-sets")
     buckets = linking.shared(_signed(docs, n, percent))
     of_interest = buckets.select("node").distinct()
@@ -274,12 +265,12 @@ def _linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
     named = least.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = stored(named.join(smallest, "component").select("node", "component", "component_id"), "components")
-    return told.select("doc_id", "node", F.col("n").alias("n_shingles")).join(of_node, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    return told.select("row", "doc_id", "node", F.col("n").alias("n_shingles")).join(of_node, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
 
 
 def link_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, node, n_shingles and component_id of every row."""
-    return _linked(docs, n, percent).drop("component")
+    return _linked(docs, n, percent).drop("row", "component")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -287,11 +278,14 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     It is one of the component's least doc_id, nulls last; of unlike sets under that doc_id, the one of the least node.
     """
-    node, mark = free_name(docs, "set_node"), free_name(docs, "stays")
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node")
-    first = _linked(docs, n, percent).where("node is not null").groupBy("component").agg(F.min(order).alias("first"))
-    chosen = first.select(F.col("first.doc_id").alias(mark), F.col("first.node").alias(node))
-    rows = node_column(docs, node, n)
-    wordless = rows.where(F.col(node).isNull()).drop(node)
-    stays = rows.where(F.col(node).isNotNull()).join(chosen, rows["doc_id"].eqNullSafe(chosen[mark]) & (rows[node] == chosen[node]), "left_semi")
-    return stays.dropDuplicates(["doc_id", node]).drop(node).unionByName(wordless)
+    row, once = free_name(docs, "set_row"), free_name(docs, "set_once")
+    linked = _linked(docs, n, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node", "row")
+    first = linked.where("node is not null").groupBy("component").agg(F.min(order).alias("first"))
+    again = linked.where("node is not null").groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row", F.lit(True).alias("again"))
+    chosen = first.select(F.col("first.row").alias("row")).join(again, "row", "left").select(F.col("row").alias(row), F.coalesce("again", F.lit(False)).alias(once))
+    wordless = linked.where("node is null").select(F.col("row").alias(row), F.lit(False).alias(once)).distinct()
+    keys = small_or_not(stored(chosen.unionByName(wordless), "kept-sets"))
+    rows = docs.withColumn(row, _key()).join(keys, row)
+    # only texts of rows that are there several times are shuffled to drop all but one
+    return rows.where(~F.col(once)).select(*docs.columns).unionByName(rows.where(F.col(once)).dropDuplicates([row]).select(*docs.columns))
