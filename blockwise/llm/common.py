@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,9 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 16 << 20
 #: Bytes of text that one numpy step holds; its arrays take some forty times as much.
 CHUNK_BYTES = 512 << 10
+#: Bytes of one Arrow batch between the JVM and Python.
+BATCH_BYTES = 2 << 20
+BATCH_CONF, DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,6 +70,21 @@ def small_or_not(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if 8 * longs <= BROADCAST_BYTES else df
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow in batches of some BATCH_BYTES, unless the session names another bound than Spark's default of 64 MB."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF, DEFAULT_BATCH) == DEFAULT_BATCH:
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return memory that a Python worker has freed to the system, as workers wait for further tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not have, in any case."""
     taken, name = {c.lower() for c in df.columns}, stem
@@ -84,3 +104,4 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, most: int = CHUNK_BYT
             stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()

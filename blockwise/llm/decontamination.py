@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced
+from .common import in_arrow, sliced
 from .textnum import U64, Texts
 
 Q = 12
@@ -227,7 +227,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         names=["doc_id", "item_id", "n_windows", "least_edits", "start_byte", "end_byte"],
                     )
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        part = in_arrow(docs.select("doc_id", "text"), run, schema)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -243,5 +243,5 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep[[row for row, *_ in scan(sent.value, batch.column("text"))]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, T.StructType(docs.schema.fields))
+        docs = in_arrow(docs, run, T.StructType(docs.schema.fields))
     return docs

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import BROADCAST_ROWS, free_name, sliced, small_or_not, stored
+from .common import BROADCAST_ROWS, free_name, in_arrow, sliced, small_or_not, stored
 from .textnum import U64, Texts, mix
 
 CELLS = 512
@@ -199,7 +199,7 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
                 names=["row", "doc_id", "node", "n", "cells"],
             )
 
-    return docs.select(_key().alias("row"), "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, node long, n long, cells array<long>")
+    return in_arrow(docs.select(_key().alias("row"), "doc_id", "text"), run, f"row long, doc_id {kind}, node long, n long, cells array<long>")
 
 
 def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -216,7 +216,7 @@ def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
                         met.add(name)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signatures).view(np.int64)), pa.array(np.concatenate(nodes))], names=["signature", "node"])
 
-    return docs.select("text").mapInArrow(run, "signature long, node long")
+    return in_arrow(docs.select("text"), run, "signature long, node long")
 
 
 def _possible(percent: int):
@@ -251,7 +251,7 @@ def _linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     found[name] = u.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["node", "elements"])
 
-    elements = texts.mapInArrow(hashed, "node long, elements array<long>").join(facts.select("node"), "node", "left_semi")
+    elements = in_arrow(texts, hashed, "node long, elements array<long>").join(facts.select("node"), "node", "left_semi")
     elements = stored(elements.dropDuplicates(["node"]), "shingle-elements")
 
     def check(pairs: DataFrame) -> DataFrame:

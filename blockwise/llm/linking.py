@@ -53,6 +53,16 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def merged(own: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of `own` after further links (a, b): only the components that these join are dealt with."""
+    a, b = (own.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b"))
+    ends = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = components(ends).select(F.col("node").alias("was"), F.col("component").alias("now"))
+    moved = own.join(joined, own["component"] == joined["was"], "left").select("node", F.coalesce("now", "component").alias("component"))
+    new = joined.join(own, joined["was"] == own["node"], "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
+    return moved.unionByName(new)
+
+
 def split(held: DataFrame) -> DataFrame:
     """The rows of signatures that hold several components."""
     ends = held.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("signature")
@@ -101,4 +111,4 @@ def connect(buckets: DataFrame, facts: DataFrame, possible: Callable[[str, str],
     new = stored(check(rest), "cross-links")
     if new.isEmpty():
         return own, links
-    return components(new.union(own.select(F.col("component").alias("a"), F.col("node").alias("b")))), links.union(new)
+    return merged(own, new), links.union(new)

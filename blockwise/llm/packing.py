@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, stored
+from .common import in_arrow, sliced, stored
 from .tokens import encoder, with_end
 
 PIECES_PER_PACKER = 400_000
@@ -96,7 +96,7 @@ def pieces(docs: DataFrame, vocabulary: str, end: int, size: int) -> DataFrame:
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return slim.mapInArrow(run, PIECES.format(id=docs.schema["doc_id"].dataType.simpleString()))
+    return in_arrow(slim, run, PIECES.format(id=docs.schema["doc_id"].dataType.simpleString()))
 
 
 def pack(docs: DataFrame, vocabulary: str, end: int = 2, size: int = 1024, open_most: int = 1024) -> DataFrame:
@@ -114,4 +114,4 @@ def pack(docs: DataFrame, vocabulary: str, end: int = 2, size: int = 1024, open_
             more = [pa.array([base + number for number, _ in placed], pa.int64()), pa.array([at for _, at in placed], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=out.names)
 
-    return spread.mapInArrow(run, out)
+    return in_arrow(spread, run, out)

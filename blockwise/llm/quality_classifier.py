@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, stored
+from .common import in_arrow, sliced, stored
 from .quality_rules import CLASSES, class_counts, statistics, word_counts
 from .textnum import U64, Texts, mix
 
@@ -80,7 +80,7 @@ def described(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(np.arange(0, own.size + 1, own.shape[1], dtype=np.int32), pa.array(own.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "features"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, features array<double>")
+    return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, features array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -151,12 +151,11 @@ def fit(told: DataFrame, labels: DataFrame, ridge: float = 1e-4) -> Model | None
                 [pa.array(np.arange(FOURIER + 1)), pa.ListArray.from_arrays(np.arange(0, total.size + 1, FOURIER + 2, dtype=np.int32), pa.array(total.reshape(-1)))], names=["row", "cells"]
             )
 
-    def added(table: pa.Table) -> pa.Table:
-        return pa.table({"row": table["row"][:1], "cells": pa.array([_matrix(table["cells"].combine_chunks()).sum(axis=0).tolist()])})
-
-    schema = "row long, cells array<double>"
-    whole = rows.mapInArrow(normal, schema).groupBy("row").applyInArrow(added, schema).collect()  # FOURIER + 1 rows
-    total = np.array([r["cells"] for r in sorted(whole, key=lambda r: r["row"])])
+    # summed in the JVM, partially at first, so no task holds what all tasks found
+    cells = in_arrow(rows, normal, "row long, cells array<double>").select("row", F.posexplode("cells").alias("at", "cell")).groupBy("row", "at").agg(F.sum("cell").alias("cell"))
+    total = np.zeros((FOURIER + 1, FOURIER + 2))
+    for r in cells.collect():  # as many as the matrix has cells
+        total[r["row"], r["at"]] = r["cell"]
     weights = np.linalg.solve(total[:, :-1] + np.eye(FOURIER + 1) * ridge * n, total[:, -1])
     raw = Model(centre, scale, weights, np.zeros(BINS))
 
@@ -166,7 +165,7 @@ def fit(told: DataFrame, labels: DataFrame, ridge: float = 1e-4) -> Model | None
             yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("y")], names=["bin", "y"])
 
     counts, sums = np.zeros(BINS), np.zeros(BINS)
-    for r in rows.mapInArrow(binned, "bin long, y double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect():  # at most BINS rows
+    for r in in_arrow(rows, binned, "bin long, y double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect():  # at most BINS rows
         counts[r["bin"]], sums[r["bin"]] = r["n"], r["y"]
     return Model(centre, scale, weights, isotonic(counts, sums))
 
@@ -181,5 +180,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
             scores = model.score(_matrix(batch.column("features"))) if model else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.clip(scores, 0, 1))], names=["doc_id", "score"])
 
-    scored = told.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    scored = in_arrow(told, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, sliced, small_or_not, stored
+from .common import free_name, in_arrow, sliced, small_or_not, stored
 from .textnum import LOWER, U64, Texts, mix, twice
 
 SYMBOLS = b"#*$%&|<>"
@@ -158,7 +158,7 @@ def measured(df: DataFrame, column: str, prefix: str, rules: Rules, shares: bool
             more = [pa.array(found[s].astype(np.int64)) for s in STATISTICS] + [_lists(class_counts(texts), shares), _lists(word_counts(texts), shares)]
             yield pa.RecordBatch.from_arrays(batch.columns + more, names=batch.schema.names + out.names[len(keep) :])
 
-    return df.mapInArrow(run, out)
+    return in_arrow(df, run, out)
 
 
 def _distance(own: Column, reference: Column) -> Column:

@@ -93,12 +93,15 @@ class Texts:
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and text of each line of a split at \\n; an empty text has one empty line."""
         breaks = np.flatnonzero(self.data == 10)
-        starts = np.concatenate([self.at[:-1], breaks + 1])
-        texts = np.concatenate([np.arange(self.n), np.searchsorted(self.at, breaks, "right") - 1])
-        ends = np.concatenate([breaks, self.at[1:]])
-        ended = np.concatenate([texts[self.n :], np.arange(self.n)])
-        order = np.lexsort((starts, texts))
-        return starts[order], ends[np.lexsort((ends, ended))], texts[order]
+        texts = np.repeat(np.arange(self.n), 1 + np.diff(np.searchsorted(breaks, self.at)))
+        # a line begins with its text or behind a break; of a text's lines the first has no break before it
+        first = np.append(True, texts[1:] != texts[:-1])[: len(texts)]
+        starts = np.empty(len(texts), dtype=np.int64)
+        starts[first], starts[~first] = self.at[:-1], breaks + 1
+        last = np.append(texts[1:] != texts[:-1], True)[-len(texts) :] if len(texts) else first
+        ends = np.empty(len(texts), dtype=np.int64)
+        ends[last], ends[~last] = self.at[1:], breaks
+        return starts, ends, texts
 
     @cached_property
     def _sums(self) -> np.ndarray:

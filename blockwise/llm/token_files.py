@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_path, sliced, small_or_not, stored
+from .common import in_arrow, shared_path, sliced, small_or_not, stored
 from .tokens import encoder, with_end
 
 IDS_PER_FILE = 1_000_000
@@ -143,7 +143,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end: int = 2) -> DataFr
         if held:
             yield flush()
 
-    return stored(ordered.mapInArrow(run, "part long, file long, n_ids long"), "token-files")
+    return stored(in_arrow(ordered, run, "part long, file long, n_ids long"), "token-files")
 
 
 def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     if files.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(folder).select("path", "content")
-    found = raw.mapInArrow(run, "doc_id long, own_start long, n_tokens long, ids_crc32 long, part long, file long")
+    found = in_arrow(raw, run, "doc_id long, own_start long, n_tokens long, ids_crc32 long, part long, file long")
     return found.join(base, ["part", "file"]).select("doc_id", (F.col("base") + F.col("own_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
