@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .text import json_string, json_text
 
 # What is hashed with an identity's data, so that stored identities stay comparable.
-DOCUMENT_KIND = "ctxalloc-source-document-id"
-BLOCK_KIND = "ctxalloc-context-block-id"
+DOCUMENT_KIND = "blockwise-source-document"
+BLOCK_KIND = "blockwise-context-block"
 ALGORITHM = 1
 
 

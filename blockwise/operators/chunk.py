@@ -22,7 +22,7 @@ from . import chunker
 from .tokenizers import Tokenizer
 
 # How the chunker names itself in a block's metadata.
-CHUNKER_ID, CHUNKER_VERSION = "ctxalloc-markdown-structural", "1"
+CHUNKER_ID, CHUNKER_VERSION = "blockwise-structural", "1"
 CHUNKS = "ordinal int, headingPath array<string>, headingJson string, occurrence int, startOffset long, endOffset long, startLine int, endLine int, content string, tokenCount long"
 
 

@@ -19,7 +19,7 @@ from ..functions import identity, validate
 
 # Reason codes of decisions.
 INCLUDED = "INCLUDED"
-REASONS = ("EXCLUDED_SCOPE_MISMATCH", "EXCLUDED_INVALID", "EXCLUDED_POLICY", "EXCLUDED_DUPLICATE", "EXCLUDED_BUDGET", "EXCLUDED_CATEGORY_LIMIT", "EXCLUDED_RENDER_OVERFLOW", "REQUIRED_CONTENT_EXCEEDS_BUDGET")
+REASONS = ("EXCLUDED_SCOPE_MISMATCH", "EXCLUDED_INVALID", "EXCLUDED_POLICY", "EXCLUDED_DUPLICATE", "EXCLUDED_BUDGET", "EXCLUDED_CATEGORY_LIMIT", "EXCLUDED_RENDER_OVERFLOW", "REQUIRED_CONTENT_EXCEEDS_BUDGET", "EXCLUDED_UNKNOWN_REQUEST", "EXCLUDED_INVALID_REQUEST")
 
 
 @dataclass(frozen=True)
@@ -45,16 +45,22 @@ def out(df: DataFrame, when: Column, reason: str) -> DataFrame:
 
 
 def in_scope(candidates: DataFrame, requests: DataFrame) -> DataFrame:
-    """Candidates with their request's budget; those of another scope are out. Comparison is exact, an absent project equals an absent one only."""
-    scope = requests.select("request_id", *[F.col(c).alias(f"r_{c}") for c in ("tenantId", "workspaceId", "projectId")], "available")
-    joined = candidates.join(scope, "request_id").withColumn("reason", F.lit(None).cast("string"))
-    return out(joined, ~validate.scopes_equal("", "r_"), REASONS[0]).drop("r_tenantId", "r_workspaceId", "r_projectId")
+    """Candidates with their request's budget; those of another scope, of no request or of an invalid one (`issues` isn't null) are out.
+
+    Comparison is exact, an absent project equals an absent one only.
+    """
+    issues = F.col("issues").isNotNull() if "issues" in requests.columns else F.lit(False)
+    scope = requests.select("request_id", *[F.col(c).alias(f"r_{c}") for c in ("tenantId", "workspaceId", "projectId")], "available", issues.alias("r_bad"))
+    joined = candidates.join(scope, "request_id", "left").withColumn("reason", F.lit(None).cast("string"))
+    joined = out(out(joined, F.col("r_bad").isNull(), REASONS[8]), F.col("r_bad"), REASONS[9])
+    return out(joined, ~validate.scopes_equal("", "r_"), REASONS[0]).drop("r_tenantId", "r_workspaceId", "r_projectId", "r_bad")
 
 
 def valid(df: DataFrame, policy: Policy) -> DataFrame:
-    """Invalid candidates (bad counts, repeated ids, priorities out of range) and excluded categories are out."""
+    """Invalid candidates (bad counts, repeated ids, priorities or relevance out of range, NaN, no source) and excluded categories are out."""
     repeated = F.row_number().over(W.partitionBy("request_id", "id").orderBy("normalizedContentHash", "sourceDocumentId")) > 1
     bad = repeated | ~F.coalesce(F.col("tokenCount") >= 0, F.lit(False)) | validate.filled("id").isNotNull() | validate.filled("content").isNotNull() | ~F.coalesce(F.col("priority"), F.lit(0)).between(0, policy.max_priority)
+    bad = bad | F.isnan(F.coalesce("relevance", F.lit(0.0))) | ~F.coalesce("relevance", F.lit(0.0)).between(0.0, 1.0) | validate.filled("sourceDocumentId").isNotNull()
     df = out(df.withColumn("bad", bad), F.col("bad"), REASONS[1]).drop("bad")
     return out(df, F.coalesce(F.col("category").isin(*policy.excluded_categories), F.lit(False)), REASONS[2]) if policy.excluded_categories else df
 
@@ -132,17 +138,27 @@ def escaped(column: str) -> Column:
     return text
 
 
+def block_text() -> Column:
+    """An included block as the context shows it."""
+    return F.concat(F.lit('<block id="'), escaped("id"), F.lit('" source="'), F.coalesce(escaped("sourceDocumentId"), F.lit("")), F.lit('">\n'), F.col("content"), F.lit("\n</block>"))
+
+
 def render(df: DataFrame) -> DataFrame:
     """One context by request: included blocks in order of document and id, each in a tagged wrapper with escaped labels; the content as it is."""
-    block = F.concat(F.lit('<block id="'), escaped("id"), F.lit('" source="'), F.coalesce(escaped("sourceDocumentId"), F.lit("")), F.lit('">\n'), F.col("content"), F.lit("\n</block>"))
-    parts = df.where(F.col("reason") == INCLUDED).groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("sourceDocumentId", "id", block.alias("block")))).alias("parts"))
+    parts = df.where(F.col("reason") == INCLUDED).groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("sourceDocumentId", "id", block_text().alias("block")))).alias("parts"))
     return parts.select("request_id", F.array_join(F.transform("parts", lambda p: p["block"]), "\n").alias("context"))
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """A digest by request over all candidates, whatever their order."""
-    row = F.to_json(F.struct("id", "normalizedContentHash", "tokenCount", "required", "priority", "category"))
-    return df.groupBy("request_id").agg(identity.digest(F.array_join(F.array_sort(F.collect_list(row)), "\n")).alias("fingerprint"))
+def fingerprint(df: DataFrame, requests: DataFrame, policy: Policy) -> DataFrame:
+    """A digest by request over its scope and budget, the policy and all candidates, whatever their order.
+
+    Candidates come in as a count and two sums of 64-bit hashes, which are added up partially.
+    """
+    row = [F.col(c) for c in ("id", "normalizedContentHash", "tokenCount", "required", "priority", "category", "relevance", "updatedAt", "sourceDocumentId")]
+    sums = [F.sum(F.xxhash64(F.lit(salt), *row).cast("decimal(38,0)")).cast("string") for salt in (1, 2)]
+    told = df.groupBy("request_id").agg(F.concat_ws("/", F.count("*"), *sums).alias("candidates"))
+    own = requests.select("request_id", F.to_json(F.struct("tenantId", "workspaceId", "projectId", "available")).alias("own")).join(told, "request_id", "left")
+    return own.select("request_id", identity.digest(F.concat_ws("\n", "own", F.lit(repr(policy)), F.coalesce("candidates", F.lit("0")))).alias("fingerprint"))
 
 
 def recount(df: DataFrame, tokenizer) -> DataFrame:

@@ -79,7 +79,10 @@ def line_kinds(spark, sf_dir):
 
 
 def token_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").cast("long").alias("code_points"), word_count().alias("words"))
+    """The counts of both tokenizers, by the operator that recounts candidates."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.lit(0).cast("long").alias("tokenCount"))
+    counted = select.recount(select.recount(docs, CodePoints()).select("doc_id", "content", F.col("tokenCount").alias("code_points"), F.lit(0).cast("long").alias("tokenCount")), Words())
+    return counted.select("doc_id", "code_points", F.col("tokenCount").alias("words"))
 
 
 def _synthetic(spark, sf_dir):
@@ -179,6 +182,26 @@ def render_trace(spark, sf_dir):
     return r.select("request_id", F.md5("context").alias("context_md5"), "candidate_tokens", "compiled_tokens", "unused_tokens", "n_included", F.round("reduction_ratio", 6).alias("reduction_ratio"))
 
 
+def decision_totals(spark, sf_dir):
+    """Messages as candidates of orders' requests: valid, invalid and unknown ones, and relevance out of range; decisions by request and reason."""
+    talk = table(spark, sf_dir, "conversations")
+    asked = table(spark, sf_dir, "orders").where("o_orderkey <= 300").select(F.col("o_orderkey").alias("request_id"), F.lit("t").alias("tenantId"), F.lit("w").alias("workspaceId"), F.lit(None).cast("string").alias("projectId"),
+        F.lit(120).cast("long").alias("totalTokens"), F.when(F.col("o_orderkey") % 7 == 3, 500).otherwise(20).cast("long").alias("reservedOutputTokens"), *[F.lit(None).cast("long").alias(c) for c in budget.RESERVES[1:]])
+    said = talk.select(F.col("conv_id").alias("request_id"), F.concat_ws("/", "conv_id", "turn").alias("id"), F.lit("t").alias("tenantId"), F.lit("w").alias("workspaceId"), F.lit(None).cast("string").alias("projectId"), F.concat(F.lit("c"), "conv_id").alias("sourceDocumentId"),
+        F.concat_ws(" ", "turn", "text").alias("content"), F.concat_ws("/", "conv_id", "turn").alias("normalizedContentHash"), (F.char_length("text") % 60).cast("long").alias("tokenCount"), F.lit(False).alias("required"), F.lit(0).cast("long").alias("priority"),
+        F.col("role").alias("category"), F.when(F.col("turn") % 5 == 4, 7.5).otherwise(1.0 / (F.col("turn") + 1)).alias("relevance"), F.lit(None).cast("string").alias("updatedAt"))
+    done = compile_requests(asked, said, Policy(category_max={"user": 1}))
+    return done.decisions.groupBy("request_id", "reason").agg(F.count("*").alias("n"), F.sum("tokenCount").alias("tokens"))
+
+
+def results_of_all(spark, sf_dir):
+    """Every request of `decision_totals` that is valid has a result, with or without candidates."""
+    asked = table(spark, sf_dir, "orders").where("o_orderkey <= 300").select(F.col("o_orderkey").alias("request_id"), F.lit("t").alias("tenantId"), F.lit("w").alias("workspaceId"), F.lit(None).cast("string").alias("projectId"),
+        F.lit(120).cast("long").alias("totalTokens"), F.when(F.col("o_orderkey") % 7 == 3, 500).otherwise(20).cast("long").alias("reservedOutputTokens"), *[F.lit(None).cast("long").alias(c) for c in budget.RESERVES[1:]])
+    none = candidates_of(spark, sf_dir).where("false").withColumn("request_id", F.lit(0).cast("long"))
+    return compile_requests(asked, none).results.select("request_id", "available_tokens", "n_candidates", "compiled_tokens", "unused_tokens", "utilisation")
+
+
 def _scored(spark, sf_dir):
     return select.score(candidates_of(spark, sf_dir), Policy()).withColumn("available", F.lit(BUDGET).cast("long"))
 
@@ -236,7 +259,7 @@ def language_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         ingest_documents, ingest_conversations, scan_lines, line_kinds, token_counts, md_sections, chunk_documents, block_ids, budget_arith, validate_split, scope_filter, dedup_canonical,
-        score_components, alloc_greedy, render_trace, baseline_full, baseline_truncate, baseline_topk, baseline_recent, baseline_required_topk, metrics_report, recall_report, retrieval_metrics, language_report,
+        score_components, alloc_greedy, decision_totals, results_of_all, render_trace, baseline_full, baseline_truncate, baseline_topk, baseline_recent, baseline_required_topk, metrics_report, recall_report, retrieval_metrics, language_report,
     )
 }
 
@@ -297,6 +320,15 @@ THEN '' ELSE 'EXCLUDED_SCOPE_MISMATCH' END AS reason FROM conversations""",
     "alloc_greedy": _ALLOCATED + " SELECT request_id, id, reason, rank FROM decided",
     "render_trace": _USAGE + f""", shown AS (SELECT request_id, string_agg('<block id="' || {_ESC.format('id')} || '" source="s' || doc_id || '">' || chr(10) || text || chr(10) || '</block>', chr(10) ORDER BY 's' || doc_id, id) AS context FROM decided WHERE reason = 'INCLUDED' GROUP BY 1)
 SELECT request_id, md5(context) AS context_md5, candidate_tokens, compiled_tokens, {BUDGET} - compiled_tokens AS unused_tokens, n_included, round(CASE WHEN candidate_tokens > 0 THEN (candidate_tokens - compiled_tokens) / candidate_tokens::DOUBLE ELSE 0 END, 6) AS reduction_ratio FROM usage LEFT JOIN shown USING (request_id)""",
+    "decision_totals": """WITH RECURSIVE c AS (SELECT conv_id AS request_id, turn, conv_id || '/' || turn AS id, role, length(text) % 60 AS tokens, turn % 5 = 4 AS wild, o_orderkey IS NULL AS unknown, coalesce(conv_id % 7 = 3, false) AS bad
+  FROM conversations LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey <= 300) ON o_orderkey = conv_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY 1.0::DOUBLE / (turn + 1) DESC, id) AS k FROM c WHERE NOT unknown AND NOT bad AND NOT wild),
+walk AS (SELECT request_id, k, id, tokens <= 100 AS taken, CASE WHEN tokens <= 100 THEN tokens ELSE 0 END AS used, CASE WHEN tokens <= 100 AND role = 'user' THEN 1 ELSE 0 END AS users, false AS limited FROM r WHERE k = 1
+  UNION ALL SELECT r.request_id, r.k, r.id, NOT (role = 'user' AND users >= 1) AND used + tokens <= 100, used + CASE WHEN NOT (role = 'user' AND users >= 1) AND used + tokens <= 100 THEN tokens ELSE 0 END,
+    users + CASE WHEN role = 'user' AND users < 1 AND used + tokens <= 100 THEN 1 ELSE 0 END, role = 'user' AND users >= 1 FROM walk w JOIN r ON r.request_id = w.request_id AND r.k = w.k + 1)
+SELECT c.request_id, CASE WHEN unknown THEN 'EXCLUDED_UNKNOWN_REQUEST' WHEN bad THEN 'EXCLUDED_INVALID_REQUEST' WHEN wild THEN 'EXCLUDED_INVALID' WHEN limited THEN 'EXCLUDED_CATEGORY_LIMIT' WHEN taken THEN 'INCLUDED' ELSE 'EXCLUDED_BUDGET' END AS reason,
+  count(*) AS n, sum(tokens)::BIGINT AS tokens FROM c LEFT JOIN walk w ON w.request_id = c.request_id AND w.id = c.id GROUP BY 1, 2""",
+    "results_of_all": "SELECT o_orderkey AS request_id, 100::BIGINT AS available_tokens, 0::BIGINT AS n_candidates, 0::BIGINT AS compiled_tokens, 100::BIGINT AS unused_tokens, 0.0::DOUBLE AS utilisation FROM orders WHERE o_orderkey <= 300 AND o_orderkey % 7 <> 3",
     "baseline_full": f"WITH {_CANDIDATES} SELECT request_id, sum(tokens)::BIGINT AS tokens, count(*) AS blocks FROM scored GROUP BY 1",
     "baseline_truncate": f"WITH {_CANDIDATES} SELECT request_id, id, kept::BIGINT AS kept_tokens FROM (SELECT request_id, id, least(tokens, greatest(0, {BUDGET} - (sum(tokens) OVER (PARTITION BY request_id ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - tokens))) AS kept FROM scored) WHERE kept > 0",
     "baseline_topk": _PREFIX.replace("@order", "score DESC, id"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,40 +25,70 @@ class Compiled:
 def compile_requests(requests: DataFrame, candidates: DataFrame, policy: Policy = Policy(), tokenizer=None) -> Compiled:
     """Validate, scope, dedup, score, allocate, render. Input order never matters: every order is stated.
 
-    With a tokenizer the counts of candidates are taken anew, and blocks are taken out, the last
-    decided first, until the rendered context fits.
+    Every candidate gets a decision, also one of an unknown or invalid request, and every valid
+    request a result, also one without candidates. With a tokenizer the counts of candidates are
+    taken anew (`recounted` tells where they differ), and the rendered context as a whole is counted:
+    optional blocks are taken out, the last decided first, until it fits; if required blocks alone
+    don't fit, the request fails.
     """
     good, rejected = validate.split(requests, [validate.filled("tenantId"), validate.filled("workspaceId"), validate.filled("projectId", optional=True), *validate.budget_rules()])
     good = good.withColumn("available", budget.available())
-    known = select.recount(candidates, tokenizer).drop("recounted") if tokenizer else candidates
-    decided = select.in_scope(known, good)
+    known = select.recount(candidates, tokenizer) if tokenizer else candidates.withColumn("recounted", F.lit(False))
+    scopes = good.withColumn("issues", F.lit(None).cast("string")).unionByName(rejected.withColumn("available", F.lit(None).cast("long")).withColumn("issues", F.lit("invalid")))
+    decided = select.in_scope(known, scopes)
     decided = select.score(select.dedup(select.valid(decided, policy)), policy)
     decided = select.allocate(decided, policy)
     if tokenizer:
-        decided = evict(decided, tokenizer)
+        decided = fitted(decided, tokenizer)
+    else:
+        decided = decided.withColumn("rendered_tokens", F.lit(None).cast("long"))
     context = select.render(decided)
     taken = F.col("reason") == INCLUDED
     usage = decided.groupBy("request_id").agg(
-        F.sum("tokenCount").alias("candidate_tokens"), F.coalesce(F.sum(F.when(taken, F.col("tokenCount"))), F.lit(0)).alias("compiled_tokens"), F.first("available").alias("available_tokens"),
-        F.count("*").alias("n_candidates"), F.count_if(taken).alias("n_included"), F.max(F.when(F.col("reason") == select.REASONS[7], F.lit(select.REASONS[7]))).alias("error"),
+        F.sum("tokenCount").alias("candidate_tokens"), F.sum(F.when(taken, F.col("tokenCount"))).alias("compiled_tokens"), F.max("rendered_tokens").alias("rendered_tokens"), F.count("*").alias("n_candidates"),
+        F.count_if(taken).alias("n_included"), F.max(F.when(F.col("reason") == select.REASONS[7], F.lit(select.REASONS[7]))).alias("error"),
     )
-    usage = usage.withColumn("unused_tokens", F.col("available_tokens") - F.col("compiled_tokens")).withColumn("reduction_tokens", F.col("candidate_tokens") - F.col("compiled_tokens"))
-    usage = usage.withColumn("reduction_ratio", F.when(F.col("candidate_tokens") > 0, F.col("reduction_tokens") / F.col("candidate_tokens")).otherwise(0.0))
-    results = usage.join(context, "request_id", "left").join(select.fingerprint(known), "request_id", "left")
+    results = good.select("request_id", F.col("available").alias("available_tokens")).join(usage, "request_id", "left")
+    results = results.fillna(0, ["candidate_tokens", "compiled_tokens", "n_candidates", "n_included"])
+    used = F.coalesce("rendered_tokens", "compiled_tokens")
+    results = results.withColumn("unused_tokens", F.col("available_tokens") - used).withColumn("overhead_tokens", F.col("rendered_tokens") - F.col("compiled_tokens"))
+    results = results.withColumn("utilisation", F.when(F.col("available_tokens") > 0, used / F.col("available_tokens")).otherwise(0.0)).withColumn("reduction_tokens", F.col("candidate_tokens") - F.col("compiled_tokens"))
+    results = results.withColumn("reduction_ratio", F.when(F.col("candidate_tokens") > 0, F.col("reduction_tokens") / F.col("candidate_tokens")).otherwise(0.0))
+    results = results.join(context, "request_id", "left").join(select.fingerprint(known, good, policy), "request_id", "left")
     results = results.withColumn("engine_version", F.lit(ENGINE_VERSION)).withColumn("policy_version", F.lit(policy.version))
-    return Compiled(decided, results, rejected)
+    results = results.withColumn("tokenizer", F.lit(f"{tokenizer.id}/{tokenizer.version}" if tokenizer else None).cast("string"))
+    return Compiled(decided.drop("rendered_tokens"), results, rejected)
 
 
-def evict(decided: DataFrame, tokenizer) -> DataFrame:
-    """Takes the last decided optional blocks out while the rendered blocks, counted as they stand, exceed what is available."""
-    from pyspark.sql import Window as W
+def fitted(decided: DataFrame, tokenizer) -> DataFrame:
+    """decided with rendered_tokens, the count of the whole rendered context, and without the optional blocks that it has no room for.
 
-    block = F.concat(F.lit('<block id="'), select.escaped("id"), F.lit('" source="'), F.coalesce(select.escaped("sourceDocumentId"), F.lit("")), F.lit('">\n'), F.col("content"), F.lit("\n</block>\n"))
-    shown = select.recount(decided.withColumn("plain", F.col("content")).withColumn("own", F.col("tokenCount")).withColumn("content", block), tokenizer)
-    shown = shown.withColumn("shown", F.col("tokenCount")).withColumn("tokenCount", F.col("own")).withColumn("content", F.col("plain")).drop("plain", "own", "recounted")
-    so_far = F.sum(F.when(F.col("reason") == INCLUDED, F.col("shown")).otherwise(0)).over(W.partitionBy("request_id").orderBy(F.col("rank").asc_nulls_last(), "id"))
-    over = (F.col("reason") == INCLUDED) & (so_far > F.col("available"))
-    return shown.withColumn("over", over).withColumn("reason", F.when(F.col("over"), F.lit(select.REASONS[6])).otherwise(F.col("reason"))).drop("over", "shown")
+    A request's included blocks, which its budget bounds, are rendered and counted in one task. Required
+    blocks never leave: if they don't fit by themselves, they carry the error and the request has no context.
+    """
+    shown = decided.where(F.col("reason") == INCLUDED).select("request_id", "id", "sourceDocumentId", F.coalesce("required", F.lit(False)).alias("required"), "rank", "available", select.block_text().alias("block"))
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["sourceDocumentId"] or "", r["id"]))
+        out = dict.fromkeys((r["id"] for r in rows), INCLUDED)
+
+        def count() -> int:
+            return tokenizer.count("\n".join(r["block"] for r in rows if out[r["id"]] == INCLUDED))
+
+        optional = sorted((r for r in rows if not r["required"]), key=lambda r: r["rank"])
+        tokens = count()
+        while tokens > rows[0]["available"] and optional:
+            out[optional.pop()["id"]] = select.REASONS[6]
+            tokens = count()
+        if tokens > rows[0]["available"]:
+            out = {r["id"]: select.REASONS[7] if r["required"] else select.REASONS[6] for r in rows}
+            tokens = 0
+        return pa.table({"request_id": pa.array([r["request_id"] for r in rows], table.schema.field("request_id").type), "key": list(out), "fits": list(out.values()), "rendered_tokens": pa.array([tokens] * len(out), pa.int64())})
+
+    kind = decided.schema["request_id"].dataType.simpleString()
+    found = shown.groupBy("request_id").applyInArrow(run, f"request_id {kind}, key string, fits string, rendered_tokens long")
+    joined = decided.withColumn("key", F.when(F.col("reason") == INCLUDED, F.col("id"))).join(found, ["request_id", "key"], "left")
+    return joined.withColumn("reason", F.coalesce("fits", "reason")).drop("key", "fits")
 
 
 def reconciled(compiled: Compiled) -> DataFrame:

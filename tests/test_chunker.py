@@ -1,5 +1,7 @@
 """The chunker: structure, splitting, properties, golden identities and partition invariance."""
 
+import hashlib
+import json
 import random
 
 import pytest
@@ -162,16 +164,24 @@ def test_surrogates_and_offsets():
 SOURCE = dict(tenantId="local", workspaceId="default", sourceType="markdown", namespace="vault:notes", key="note.md", metadata="{}")
 
 
+def named(kind, *parts):
+    """An identity by the standard library alone: SHA-256 of a JSON array without spaces."""
+    return f"{kind}:sha256:" + hashlib.sha256(json.dumps(list(parts), separators=(",", ":")).encode()).hexdigest()
+
+
 def test_golden_identities(spark):
     rows = [SOURCE | {"content": "# Alpha\nFirst body.\n\n# Beta\nSecond body.\n"}]
     docs = ingest(from_rows(spark, rows))
-    assert docs.first().id == "source-document:sha256:c6c47e476dcbeea0514fe553739db71bd4c1970ea774faaebfa561fdbd06bfcb"
+    document = named("source-document", "blockwise-source-document", 1, "local", "default", None, "markdown", "vault:notes", "note.md")
+    assert docs.first().id == document
     one, two = chunk(docs, CodePoints(), WIDE).orderBy("ordinal").collect()
     assert one.normalizedContentHash == "sha256:ff30085e1616a5a5fde4fb8f215684cf9ff5e19aee7849823aac8d29462a158e"
-    assert one.id == "context-block:sha256:9bf8803c9b3c550a2d297e0023031a6686086f13a8a9aa04b86f430037cedf5a"
-    assert two.id == "context-block:sha256:6f08f1fbf225fcd1a969b34d02bde6d315c8c3cf2450c58c953ac7f6a11ab392"
+    assert one.id == named("context-block", "blockwise-context-block", 1, document, ["Alpha"], one.normalizedContentHash, 0)
+    assert two.id == named("context-block", "blockwise-context-block", 1, document, ["Beta"], "sha256:" + hashlib.sha256(b"Second body.").hexdigest(), 0)
     docs = ingest(from_rows(spark, [SOURCE | {"content": "Rootless.\n\n# Dup\nSame.\n\n# Dup\nSame.\n"}]))
-    assert [r.id.removeprefix("context-block:sha256:")[:8] for r in chunk(docs, CodePoints(), WIDE).orderBy("ordinal").collect()] == ["45f9996f", "ba1bbaeb", "d7fa52d2"]
+    plain, same = ("sha256:" + hashlib.sha256(x).hexdigest() for x in (b"Rootless.", b"Same."))
+    want = [named("context-block", "blockwise-context-block", 1, document, None, plain, 0), *(named("context-block", "blockwise-context-block", 1, document, ["Dup"], same, k) for k in (0, 1))]
+    assert [r.id for r in chunk(docs, CodePoints(), WIDE).orderBy("ordinal").collect()] == want
     docs = ingest(from_rows(spark, [SOURCE | {"content": ""}]))
     assert docs.first().contentHash == "sha256:e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
     assert chunk(docs, CodePoints(), WIDE).collect() == []

@@ -140,6 +140,26 @@ def test_recount_and_eviction(spark):
     assert len(done.results.first().context) <= 100 and done.results.first().compiled_tokens == 30
 
 
+def test_required_blocks_never_leave(spark):
+    """Two required blocks of three words fit by their counts, but not rendered: the request fails, and says so."""
+    rows = [candidate(x, 3, required=True, content=f"{x} two three") for x in ("a", "b")]
+    done = run(spark, [*rows, candidate("c", 1)], total=8, tokenizer=Words())
+    assert {r.id: r.reason for r in done.decisions.collect()} == {"a": "REQUIRED_CONTENT_EXCEEDS_BUDGET", "b": "REQUIRED_CONTENT_EXCEEDS_BUDGET", "c": "EXCLUDED_RENDER_OVERFLOW"}
+    r = done.results.first()
+    assert (r.error, r.compiled_tokens, r.context, r.rendered_tokens) == ("REQUIRED_CONTENT_EXCEEDS_BUDGET", 0, None, 0)
+    done = run(spark, [*rows, candidate("c", 1)], total=18, tokenizer=Words())
+    r = done.results.first()
+    assert r.error is None and r.rendered_tokens == Words().count(r.context) <= 18 and (r.n_included, r.overhead_tokens, r.unused_tokens) == (2, r.rendered_tokens - 6, 18 - r.rendered_tokens)
+
+
+def test_every_candidate_and_request_is_answered(spark):
+    rows = [candidate("a", 1, request="r"), candidate("b", 1, request="bad"), candidate("c", 1, request="nowhere"), candidate("d", 1, relevance=7.5), candidate("e", 1, relevance=float("nan")), (*candidate("f", 1)[:5], None, *candidate("f", 1)[6:])]
+    done = run(spark, rows)
+    assert {r.id: r.reason for r in done.decisions.collect()} == {"a": "INCLUDED", "b": "EXCLUDED_INVALID_REQUEST", "c": "EXCLUDED_UNKNOWN_REQUEST", "d": "EXCLUDED_INVALID", "e": "EXCLUDED_INVALID", "f": "EXCLUDED_INVALID"}
+    empty = run(spark, [candidate("a", 1, request="nowhere")]).results.collect()
+    assert [(r.request_id, r.n_candidates, r.compiled_tokens, r.unused_tokens, r.context) for r in empty] == [("r", 0, 0, 10, None)]
+
+
 def test_labels_are_escaped(spark):
     row = [candidate('i"<&>', 1)]
     assert '<block id="i&quot;&lt;&amp;&gt;"' in run(spark, row).results.first().context
