@@ -61,6 +61,11 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that are finished and no longer held."""
+    spark._jvm.System.gc()
+
+
 def small_or_not(df: DataFrame) -> DataFrame:
     """Mark a stored table of numbers and arrays of them for broadcast if it is counted to be small; otherwise the join shuffles."""
     wide = [f for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import BROADCAST_ROWS, free_name, in_arrow, sliced, small_or_not, stored
+from .common import BROADCAST_ROWS, discard, free_name, free_shuffles, in_arrow, sliced, small_or_not, stored
 from .textnum import U64, Texts, mix
 
 CELLS = 512
@@ -234,6 +234,7 @@ def _linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """row, doc_id, node, n_shingles, component and component_id of every row; a component is named by one of its nodes."""
     told = stored(_described(docs, n), "shingle-sets")
     buckets = linking.shared(_signed(docs, n, percent))
+    free_shuffles(docs.sparkSession)
     of_interest = buckets.select("node").distinct()
     nodes = told.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *[F.max(F.col("cells")[i]).alias(f"p{i}") for i in range(CELLS // 64)])
     facts = stored(nodes.join(of_interest, "node", "left_semi"), "candidate-sets")
@@ -265,6 +266,7 @@ def _linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
     named = least.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = stored(named.join(smallest, "component").select("node", "component", "component_id"), "components")
+    discard(buckets, facts, elements)
     return told.select("row", "doc_id", "node", F.col("n").alias("n_shingles")).join(of_node, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
 
 
