@@ -10,10 +10,15 @@ A window of w bytes within e edits of a text's region shares at least w - q + 1
 with it (the q-gram lemma), on diagonals that are at most e apart. So the q-grams of a text are
 looked up among those of the windows, and the shared ones are counted by window and diagonal band;
 bands overlap by half, so that the diagonals of one alignment are in one band. Bands that meet the
-lemma's count are kept, and verified by an alignment confined to the band and its margin.
+lemma's count are kept, and verified by an alignment confined to the band and its margin. Counted are
+the places of a text that share a q-gram in the band, so that text which repeats itself, and meets a
+repeated q-gram at many places of a window, counts once for each of its own: an alignment uses none
+twice, so nothing is lost. Windows of equal bytes are looked up as one.
 
 Texts are scanned where they are read: nothing is shuffled. The items are sent to the executors in
-blocks of at most BLOCK_BYTES, one scan after another if they are more.
+blocks of at most BLOCK_BYTES, one scan after another if they are more. Shared q-grams are listed in
+runs of about HITS and aligned ALIGNED at a time, so beside some twenty bytes for each byte of a text
+memory does not grow with it, however often text and items repeat themselves.
 
 Defined cases: null and empty texts hold nothing, nor do items shorter than MIN_WINDOW after
 folding, too short to tell from chance; repeated rows and items each give their own hits; empty
@@ -39,6 +44,8 @@ WINDOW = 100
 MIN_WINDOW = 50
 EDIT_SHARE = 0.06
 BLOCK_BYTES = 16 << 20
+#: Bytes of folded text whose q-grams are looked up at once, shared q-grams listed at once, regions aligned at once.
+PIECE, HITS, ALIGNED = 1 << 20, 1 << 20, 4096
 _FILTER_BITS = 22
 
 
@@ -68,7 +75,7 @@ def fold(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own = np.ones(len(out), dtype=bool)
     own[at[:-1]] = False
     out[own] = data[kept]
-    source = np.zeros(len(out), dtype=np.int64)
+    source = np.zeros(len(out), dtype=np.int32)  # a text of Arrow has less than 2 GB
     source[own] = kept
     return out, at, source
 
@@ -86,18 +93,21 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """The windows of a block of items: q-gram hashes in order, and the window and place of each."""
+    """The unlike windows of a block of items: q-gram hashes in order, and the window and place of each.
+
+    items: the items of every window, one as often as it holds that window.
+    """
 
     hashes: np.ndarray
     window: np.ndarray
     place: np.ndarray
     table: np.ndarray
-    items: list
+    items: list[list]
     windows: list[bytes]
 
     @staticmethod
     def of(items: list[tuple]) -> Index:
-        names, windows = [], []
+        of: dict[bytes, list] = {}
         data, at, _ = fold(Texts(pa.array([t for _, t in items], pa.string())))
         raw = data.tobytes()
         for k, (item, _) in enumerate(items):
@@ -106,8 +116,8 @@ class Index:
                 continue
             starts = [0] if len(own) <= WINDOW else [*range(0, len(own) - WINDOW, WINDOW // 2), len(own) - WINDOW]
             for s in starts:
-                names.append(item)
-                windows.append(own[s : s + WINDOW])
+                of.setdefault(own[s : s + WINDOW], []).append(item)
+        windows = list(of)
         found = [grams(np.frombuffer(w, dtype=np.uint8)) for w in windows]
         hashes = np.concatenate([*found, np.zeros(0, U64)])
         order = np.argsort(hashes, kind="stable")
@@ -115,16 +125,22 @@ class Index:
         table[hashes >> U64(64 - _FILTER_BITS)] = True
         window = np.repeat(np.arange(len(windows)), [len(f) for f in found])
         place = np.concatenate([*[np.arange(len(f)) for f in found], np.zeros(0, np.int64)]).astype(np.int64)
-        return Index(hashes[order], window[order], place[order], table, names, windows)
-
-    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place in data, window and place in the window of every shared q-gram."""
-        own = grams(data)
-        at = np.flatnonzero(self.table[own >> U64(64 - _FILTER_BITS)])
-        lo = np.searchsorted(self.hashes, own[at], "left")
-        n = np.searchsorted(self.hashes, own[at], "right") - lo
-        which = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(at, n), self.window[which], self.place[which]
+        return Index(hashes[order], window[order], place[order], table, list(of.values()), windows)
+
+    def hits(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Place in data, window and place in the window of every shared q-gram, in runs; a place of data is in one run, its windows and their places in order."""
+        for begin in range(0, len(data), PIECE):
+            own = grams(data[begin : begin + PIECE + Q - 1])
+            at = np.flatnonzero(self.table[own >> U64(64 - _FILTER_BITS)])
+            lo = np.searchsorted(self.hashes, own[at], "left")
+            n = np.searchsorted(self.hashes, own[at], "right") - lo
+            at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+            run = np.cumsum(n) // HITS
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(run)) + 1):
+                if len(part):
+                    m = n[part]
+                    which = np.repeat(lo[part] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                    yield np.repeat(at[part] + begin, m), self.window[which], self.place[which]
 
 
 def budget(length: int) -> int:
@@ -149,46 +165,57 @@ def align(windows: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndar
     return cost[np.arange(n), best], best + w
 
 
+def _sums(row: np.ndarray, window: np.ndarray, band: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows of equal row, window and band as one, their counts summed."""
+    order = np.lexsort((band, window, row))
+    r, v, b, n = (x[order] for x in (row, window, band, count))
+    first = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (v[1:] != v[:-1]) | (b[1:] != b[:-1])))
+    return r[first], v[first], b[first], np.add.reduceat(n, first)
+
+
+def banded(index: Index, data: np.ndarray, at: np.ndarray, half: int) -> list[tuple[np.ndarray, ...]]:
+    """For either set of bands: row, window and band that share q-grams, and at how many places of the text."""
+    found: list[list] = [[], []]
+    for place, window, inside in index.hits(data):
+        for shift in (0, 1):
+            band = (place - inside + shift * half) // (2 * half)
+            # the hits of a place come by window and, as places in the window rise, by falling band
+            new = np.append(True, (place[1:] != place[:-1]) | (window[1:] != window[:-1]) | (band[1:] != band[:-1]))
+            row = np.searchsorted(at, place[new], "right") - 1
+            found[shift].append(_sums(row, window[new], band[new], np.ones(len(row), dtype=np.int64)))
+    return [_sums(*(np.concatenate(x) for x in zip(*runs, strict=True))) for runs in found if runs]
+
+
 def scan(index: Index, column: pa.Array) -> list[tuple[int, int, int, int, int]]:
     """(row, window, edits, start, end) of every window found; places are bytes of the text as given."""
     texts = Texts(column)
     data, at, source = fold(texts)
-    place, window, inside = index.hits(data)
-    if not len(place):
+    if not index.windows:
         return []
-    row = np.searchsorted(at, place, "right") - 1
     lengths = np.array([len(w) for w in index.windows])
     edits = (lengths * EDIT_SHARE).astype(np.int64)
     half = int(edits.max()) + 1
-    diagonal = place - inside
     out: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for shift in (0, 1):
-        band = (diagonal + shift * half) // (2 * half)
-        order = np.lexsort((band, window, row))
-        r, v, b = row[order], window[order], band[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (r[1:] != r[:-1]) | (v[1:] != v[:-1]) | (b[1:] != b[:-1])
-        first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(order)))
-        need = np.maximum(lengths[v[first]] - Q + 1 - edits[v[first]] * Q, 1)
-        first = first[count >= need]
-        for length in np.unique(lengths[v[first]]):
-            own = first[lengths[v[first]] == length]
-            margin = int(budget(int(length)))
-            begin = b[own] * 2 * half - shift * half - margin
-            width = int(length) + 2 * half + 2 * margin
-            where = begin[:, None] + np.arange(width)
-            region = data[np.clip(where, 0, len(data) - 1)]
-            lo, hi = at[r[own]][:, None], at[r[own] + 1][:, None]
-            region = np.where((where > lo) & (where < hi), region, 0)
-            text = np.array([np.frombuffer(index.windows[k], dtype=np.uint8) for k in v[own]]).reshape(len(own), int(length))
-            cost, end = align(text, region)
-            for k in np.flatnonzero(cost <= margin):
-                key, stop = (int(r[own][k]), int(v[own][k])), int(begin[k] + end[k])
-                start = max(stop - int(length), int(lo[k, 0]) + 1)
-                base = int(texts.at[key[0]])
-                hit = (int(cost[k]), int(source[start]) - base, int(source[min(stop, int(hi[k, 0])) - 1]) + 1 - base)
-                out[key] = min(out.get(key, hit), hit)
+    for shift, (r, v, b, count) in enumerate(banded(index, data, at, half)):
+        enough = np.flatnonzero(count >= np.maximum(lengths[v] - Q + 1 - edits[v] * Q, 1))
+        for length in np.unique(lengths[v[enough]]).tolist():
+            alike = enough[lengths[v[enough]] == length]
+            margin = budget(length)
+            width = length + 2 * half + 2 * margin
+            for own in np.split(alike, range(ALIGNED, len(alike), ALIGNED)):
+                begin = b[own] * 2 * half - shift * half - margin
+                where = begin[:, None] + np.arange(width)
+                region = data[np.clip(where, 0, len(data) - 1)]
+                lo, hi = at[r[own]][:, None], at[r[own] + 1][:, None]
+                region = np.where((where > lo) & (where < hi), region, 0)
+                text = np.array([np.frombuffer(index.windows[k], dtype=np.uint8) for k in v[own]]).reshape(len(own), length)
+                cost, end = align(text, region)
+                for k in np.flatnonzero(cost <= margin):
+                    key, stop = (int(r[own][k]), int(v[own][k])), int(begin[k] + end[k])
+                    start = max(stop - length, int(lo[k, 0]) + 1)
+                    base = int(texts.at[key[0]])
+                    hit = (int(cost[k]), int(source[start]) - base, int(source[min(stop, int(hi[k, 0])) - 1]) + 1 - base)
+                    out[key] = min(out.get(key, hit), hit)
     return [(*k, *v) for k, v in sorted(out.items())]
 
 
@@ -216,7 +243,8 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in sliced(batches, "text"):
                 by: dict[tuple, list] = {}
                 for row, window, edits, start, end in scan(own, batch.column("text")):
-                    by.setdefault((row, own.items[window]), []).append((edits, start, end))
+                    for item in own.items[window]:
+                        by.setdefault((row, item), []).append((edits, start, end))
                 if by:
                     yield pa.RecordBatch.from_arrays(
                         [

@@ -1,8 +1,10 @@
 """Decontamination against a plain edit-distance search."""
 
 import random
+import tracemalloc
 
 import pyarrow as pa
+import pytest
 
 from blockwise.llm import decontamination as dc
 
@@ -32,7 +34,11 @@ def edited(rng, text, k):
     return text
 
 
-def test_scan_equals_plain_search():
+@pytest.mark.parametrize("sizes", [None, (64, 50, 3)])
+def test_scan_equals_plain_search(monkeypatch, sizes):
+    if sizes:  # runs end within windows and regions
+        for name, size in zip(("PIECE", "HITS", "ALIGNED"), sizes, strict=True):
+            monkeypatch.setattr(dc, name, size)
     rng = random.Random(7)
     items = [(i, passage(rng, rng.randint(10, 30))) for i in range(12)]
     index = dc.Index.of(items)
@@ -49,6 +55,28 @@ def test_scan_equals_plain_search():
     assert got == want and want
 
 
+def test_text_that_repeats_itself_equals_plain_search(monkeypatch):
+    monkeypatch.setattr(dc, "HITS", 300)
+    rng = random.Random(3)
+    units = ["a", "ab", "abc ", "river stone ", "one two three four five "]
+    index = dc.Index.of([(i, (u * 300)[: rng.choice([60, 100, 260])]) for i, u in enumerate(units)])
+    texts = [edited(rng, (rng.choice(units) * 200)[: rng.choice([40, 90, 110, 300])], rng.choice([0, 2, 5, 9, 20])) for _ in range(40)]
+    got = {(r, w) for r, w, *_ in dc.scan(index, pa.array(texts))}
+    want = {(r, k) for r, t in enumerate(texts) for k, w in enumerate(index.windows) if sellers(w.decode(), t) <= dc.budget(len(w))}
+    assert got == want and want
+
+
+def test_memory_of_a_long_text_that_repeats_itself():
+    index = dc.Index.of([(1, "x" * 5000), (2, "x" * 700), (3, "word " * 400)])
+    assert len(index.windows) < 10 and [i for i in index.items if 1 in i] == [[1] * 99 + [2] * 13]
+    text = "x" * 60_000 + " clean " + "word " * 15_000
+    tracemalloc.start()
+    got = dc.scan(index, pa.array([text]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {i for _, w, *_ in got for i in index.items[w]} == {1, 2, 3} and peak < 150 << 20
+
+
 def test_folding_places_and_cases(spark):
     rng = random.Random(1)
     item = passage(rng, 20)
