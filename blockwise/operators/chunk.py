@@ -80,6 +80,25 @@ def chunk(documents: DataFrame, tokenizer: Tokenizer, options: ChunkOptions, par
     return blocks.withColumn("schemaVersion", F.lit(1)).withColumn("kind", F.lit("text-range")).withColumn("metadata", about).drop("headingJson")
 
 
+def lines(documents: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
+    """Every line as the chunker sees it: key, line (from 1), startOffset and endOffset in UTF-16 units, and its kind."""
+    out = T.StructType([documents.schema[key], *T.StructType.fromDDL("line long, startOffset long, endOffset long, lineKind string").fields])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, rows, owner = batch.slice(at, 256), [], []
+                for k, text in enumerate(part.column(1).to_pylist()):
+                    utf16 = Utf16(text or "")
+                    found = [(n, utf16(x.start), utf16(x.end), chunker.line_kind(x.text)) for n, x in enumerate(chunker.scan_lines(text or ""), 1)]
+                    rows += found
+                    owner += [k] * len(found)
+                columns = [pa.array([r[i] for r in rows], pa.int64() if i < 3 else pa.string()) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int64())), *columns], names=out.names)
+
+    return documents.select(key, content).mapInArrow(run, out)
+
+
 def chunk_checked(documents: DataFrame, tokenizer: Tokenizer, options: ChunkOptions) -> tuple[DataFrame, DataFrame]:
     """Blocks of the documents that may be chunked, and the others with their issues."""
     good, bad = validate.split(documents, invalid_sources())

@@ -154,6 +154,12 @@ class Document:
             i = end
 
 
+def line_kind(text: str) -> str:
+    """What a line opens where it stands alone; a row of delimiters, which a table needs, has a name of its own."""
+    opened = Document([Line(0, len(text), len(text), text)]).opens(0)
+    return opened[0] if opened else "delimiter" if is_delimiter(text) else "text"
+
+
 def body_line(lines: list[Line]) -> int:
     """The first line after front matter: `---` on the very first line (a byte order mark may stand before) up to the next such line."""
     if lines and lines[0].text.removeprefix("﻿") == "---" and lines[0].text in ("---", "﻿---"):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import budget, identity, validate
 from ..functions.text import WHITESPACE, utf16_length
 from ..operators import select
-from ..operators.chunk import chunk
+from ..operators.chunk import chunk, lines
 from ..operators.select import Policy
 from ..operators.tokenizers import CodePoints, Words
 from ..sources import ingest as sources
@@ -57,25 +57,32 @@ def ingest_conversations(spark, sf_dir):
 
 
 def scan_lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("length(text) > 0")
-    lines = docs.select("doc_id", F.char_length("text").alias("whole"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    before = F.coalesce(F.sum(F.char_length("raw") + 1).over(W.partitionBy("doc_id").orderBy("line").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    found = lines.withColumn("start", before).where("start < whole")
-    return found.select("doc_id", (F.col("line") + 1).cast("long").alias("line"), F.col("start").cast("long").alias("start_offset"), F.char_length(F.regexp_replace("raw", r"\r\z", "")).cast("long").alias("length"))
+    found = lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", "line", F.col("startOffset").alias("start_offset"), (F.col("endOffset") - F.col("startOffset")).alias("length"))
 
 
-KINDS = {
-    "fence": r"^ {0,3}(`{3,}[^`\n\r]*|~{3,}[^\n\r]*)$", "heading": r"^ {0,3}#{1,6}([ \t][^\n\r]*)?$", "delimiter": r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*$",
-    "list": r"^ {0,3}([-+*]|[0-9]+[.)])[ \t]+", "quote": r"^ {0,3}>", "html": r"^ {0,3}<(!--|/?[A-Za-z][A-Za-z0-9_-]*(\s|>|/))",
-}
+def line_kinds(spark, sf_dir):
+    return lines(table(spark, sf_dir, "pages"), "page_id", "html").groupBy("page_id", F.col("lineKind").alias("kind")).agg(F.count("*").alias("n"))
 
 
-def line_kinds(spark, sf_dir):
-    lines = table(spark, sf_dir, "pages").select("page_id", F.explode(F.split("html", "\n")).alias("line"))
-    kind = F.lit("text")
-    for name, pattern in reversed(KINDS.items()):
-        kind = F.when(F.col("line").rlike(pattern), F.lit(name)).otherwise(kind)
-    return lines.groupBy("page_id", kind.alias("kind")).agg(F.count("*").alias("n"))
+#: A note with every construct, @ standing for its customer: (path of the block, or None if it is no block, text).
+STRUCTURE = (
+    (None, "---\ntitle: @\n---\n"), ("", "Before any heading 😀 @."), (None, "\n\n# Customer @ ##\n"), ("Customer @", 'A paragraph of\ntwo lines, "@".'), (None, "\r\n\r\n"),
+    ("Customer @", "```py\n# no heading @\n\n| no | table |\n```"), (None, "\n\n"), ("Customer @", "| a | b |\n|---|:-:|\n| @ | 😀 |"), (None, "\n\n"), ("Customer @", "> quoted @\n> # still quoted"), (None, "\n\n"),
+    ("Customer @", "<div>\n# html @\n</div>"), (None, "\n\n"), ("Customer @", "- item @\n  goes on\n\n  - nested\n- next"), (None, "\n\n"), ("Customer @", "1. numbered\n2) again"), (None, "\n\n### Deep  @\n\n"),
+    ("Customer @/Deep @", "same @"), (None, "\n\n"), ("Customer @/Deep @", "same @"), (None, "\n## Flat\n"), ("Customer @/Flat", "~~~\nnever closed @"),
+)
+
+
+def md_structure(spark, sf_dir):
+    """The blocks of each customer's note, none merged, with offsets, lines, occurrences and identities."""
+    text = F.concat(*[F.replace(F.lit(t), F.lit("@"), F.col("c_custkey").cast("string")) for _, t in STRUCTURE])
+    none = F.lit(None).cast("string")
+    notes = table(spark, sf_dir, "customer").select(F.lit("local").alias("tenantId"), F.lit("default").alias("workspaceId"), none.alias("projectId"), F.lit("markdown").alias("sourceType"), F.lit("structure").alias("namespace"), F.col("c_custkey").cast("string").alias("key"),
+                                                    text.alias("content"), none.alias("title"), none.alias("createdAt"), none.alias("updatedAt"), F.to_json(F.struct("c_custkey")).alias("metadata"))
+    blocks = chunk(sources.ingest(notes), CodePoints(), validate.ChunkOptions(1, 100000))
+    return blocks.select(F.get_json_object("metadata", "$.source.c_custkey").cast("long").alias("custkey"), F.col("ordinal").cast("long").alias("ordinal"), F.coalesce(F.array_join("headingPath", "/"), F.lit("")).alias("path"), "content", F.col("startOffset").alias("start_offset"), F.col("endOffset").alias("end_offset"),
+                         F.col("startLine").cast("long").alias("first_line"), F.col("endLine").cast("long").alias("last_line"), F.col("tokenCount").alias("tokens"), F.col("occurrence").cast("long").alias("occurrence"), "id")
 
 
 def token_counts(spark, sf_dir):
@@ -258,7 +265,7 @@ def language_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        ingest_documents, ingest_conversations, scan_lines, line_kinds, token_counts, md_sections, chunk_documents, block_ids, budget_arith, validate_split, scope_filter, dedup_canonical,
+        ingest_documents, ingest_conversations, scan_lines, line_kinds, token_counts, md_sections, md_structure, chunk_documents, block_ids, budget_arith, validate_split, scope_filter, dedup_canonical,
         score_components, alloc_greedy, decision_totals, results_of_all, render_trace, baseline_full, baseline_truncate, baseline_topk, baseline_recent, baseline_required_topk, metrics_report, recall_report, retrieval_metrics, language_report,
     )
 }
@@ -290,18 +297,39 @@ _BODY = """WITH item AS (SELECT l_orderkey, string_agg('- part ' || l_partkey ||
 SELECT o_custkey AS custkey, 'Customer ' || o_custkey || '/Order ' || o_orderkey AS path, body AS content, length(body) AS "tokenCount", 'sha256:' || sha256(body) AS "normalizedContentHash" FROM orders JOIN item ON o_orderkey = l_orderkey"""
 
 
+# What a line is, as RE2 patterns in the order in which they are tried.
+_KINDS = {
+    "code": r"^ {0,3}(`{3,}[^`]*|~{3,}.*)$", "heading": r"^ {0,3}#{1,6}([ \t].*)?$", "list": r"^ {0,3}([-+*]|[0-9]+[.)])[ \t]+", "quote": r"^ {0,3}>", "html": r"^ {0,3}<(!--|/?[A-Za-z][A-Za-z0-9_-]*(\s|>|/))",
+    "delimiter": r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*$",
+}
+
+
 def _kind_sql() -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN '{n}'" for n, p in KINDS.items()) + " ELSE 'text' END"
+    return "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}')" + " AND contains(line, '|')" * (n == "delimiter") + f" THEN '{n}'" for n, p in _KINDS.items()) + " ELSE 'text' END"
+
+
+def _structure_sql() -> str:
+    quoted = lambda x: "NULL" if x is None else f"'{x}'"
+    rows = ", ".join(f"({i}, {quoted(path)}, {quoted(text)})" for i, (path, text) in enumerate(STRUCTURE))
+    document = _DOC_ID.format(project="NULL", kind="markdown", namespace="structure", key="k::VARCHAR")
+    return f"""WITH t AS (SELECT c_custkey AS k, i, replace(path, '@', c_custkey::VARCHAR) AS path, replace(body, '@', c_custkey::VARCHAR) AS content FROM customer, (VALUES {rows}) AS v(i, path, body)),
+u AS (SELECT *, length(content) + length(regexp_replace(content, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS units, length(content) - length(replace(content, chr(10), '')) AS breaks FROM t),
+w AS (SELECT *, coalesce(sum(units) OVER before, 0)::BIGINT AS start_offset, (1 + coalesce(sum(breaks) OVER before, 0))::BIGINT AS first_line FROM u WINDOW before AS (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+x AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS ordinal, row_number() OVER (PARTITION BY k, path, content ORDER BY i) - 1 AS occurrence, {_HASH.format('content')} AS h, {document} AS document FROM w WHERE path IS NOT NULL)
+SELECT k AS custkey, ordinal, path, content, start_offset, start_offset + units AS end_offset, first_line, first_line + breaks AS last_line, length(content) AS tokens, occurrence,
+'context-block:sha256:' || sha256(json_array('{identity.BLOCK_KIND}', {identity.ALGORITHM}, document, CASE WHEN path <> '' THEN to_json(string_split(path, '/')) END, h, occurrence)::VARCHAR) AS id FROM x"""
 
 
 ORACLES: dict[str, str] = {
     "ingest_documents": "SELECT doc_id, " + _DOC_ID.format(project="CASE WHEN doc_id % 3 = 0 THEN lang END", kind="markdown", namespace="documents", key="'a\"\\' || chr(1) || '/' || doc_id") + " AS id, 'sha256:' || sha256(text) AS \"contentHash\", length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS utf16_units FROM documents",
     "ingest_conversations": "SELECT " + _DOC_ID.format(project="NULL", kind="conversation", namespace="conversations", key="conv_id::VARCHAR") + " AS \"sourceDocumentId\", conv_id || '/' || turn AS \"messageId\", turn AS \"messageIndex\", role, " + _HASH.format("text") + ' AS "normalizedContentHash" FROM conversations',
-    "scan_lines": """WITH l AS (SELECT doc_id, length(text) AS whole, string_split(text, chr(10)) AS a FROM documents WHERE length(text) > 0),
-e AS (SELECT doc_id, whole, unnest(a) AS raw, generate_subscripts(a, 1) AS line FROM l),
-s AS (SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM e)
-SELECT doc_id, line::BIGINT AS line, start::BIGINT AS start_offset, length(regexp_replace(raw, '\\r$', '')) AS length FROM s WHERE start < whole""",
-    "line_kinds": f"SELECT page_id, {_kind_sql()} AS kind, count(*) AS n FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS line FROM pages) GROUP BY 1, 2",
+    "scan_lines": """WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents WHERE length(text) > 0),
+e AS (SELECT doc_id, length(text) AS whole, unnest(a) AS raw, generate_subscripts(a, 1) AS line FROM l),
+m AS (SELECT *, length(raw) + length(regexp_replace(raw, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS units, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM e),
+s AS (SELECT *, coalesce(sum(units + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM m)
+SELECT doc_id, line::BIGINT AS line, start::BIGINT AS start_offset, units - CASE WHEN ends_with(raw, chr(13)) THEN 1 ELSE 0 END AS length FROM s WHERE place < whole""",
+    "line_kinds": f"SELECT page_id, {_kind_sql()} AS kind, count(*) AS n FROM (SELECT page_id, regexp_replace(unnest(string_split(regexp_replace(html, '\\n\\z', ''), chr(10))), '\\r\\z', '') AS line FROM pages WHERE html <> '') GROUP BY 1, 2",
+    "md_structure": _structure_sql(),
     "token_counts": f"SELECT doc_id, length(text) AS code_points, {_WORDS} AS words FROM documents",
     "md_sections": _BODY,
     "chunk_documents": f"SELECT doc_id, length(regexp_replace(text, '{_CLASS}', '', 'g')) AS solid_characters, true AS within_limit FROM documents WHERE length(regexp_replace(text, '{_CLASS}', '', 'g')) > 0",
