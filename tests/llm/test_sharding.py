@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter
 
+import pytest
+
 from blockwise.llm import sharding
 
 SCHEMA = "doc_id long, text string, shard int, Size long"
@@ -20,6 +22,37 @@ def test_rows_law_and_slots(spark):
     assert Counter((r.doc_id, r.shard) for r in got) == Counter((r.doc_id, r.shard) for r in again)
 
 
+@pytest.mark.parametrize("n_shards", [3, 16])
+def test_equals_a_plain_ring_walk(spark, n_shards):
+    """Row by row: every node takes its own rows up to its shard's bound, then what is left over walks on."""
+    rows = [(i, "hot" if i % 3 == 0 else f"text {i % 900}", 1, 1) for i in range(1500)] + [(None, None, 1, 1), (9, "", 1, 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    hashed = df.selectExpr("doc_id", "text", "xxhash64(text) AS k", f"pmod(xxhash64(doc_id, text), {sharding.SALTS}) AS salt").collect()
+    nodes = sharding.ring(n_shards, 64)
+
+    def arc(key):
+        slot = (key % 2**64) >> (64 - sharding.SLOT_BITS)
+        return next((a for a, (s, _) in enumerate(nodes) if s >= slot), 0)
+
+    in_order = sorted(hashed, key=lambda r: (arc(r.k), r.salt, r.k, r.doc_id is not None, r.doc_id or 0))
+    room = [len(rows) // n_shards + (s < len(rows) % n_shards) for s in range(n_shards)]
+    want, over = Counter(), []
+    for r in in_order:
+        own = nodes[arc(r.k)][1]
+        if room[own]:
+            room[own] -= 1
+            want[r.doc_id, own] += 1
+        else:
+            over.append(r)
+    for r in over:
+        a = arc(r.k)
+        while not room[nodes[a][1]]:
+            a = (a + 1) % len(nodes)
+        room[nodes[a][1]] -= 1
+        want[r.doc_id, nodes[a][1]] += 1
+    assert over and Counter((r.doc_id, r.shard) for r in sharding.shard(df, n_shards).collect()) == want
+
+
 def test_one_more_shard_moves_a_small_part(spark):
     df = spark.createDataFrame([(i, f"text {i}", 1, 1) for i in range(4000)], SCHEMA)
     was, now = ({r.doc_id: r.shard for r in sharding.shard(df, n).collect()} for n in (16, 17))

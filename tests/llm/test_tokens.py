@@ -73,6 +73,26 @@ def test_packing_is_tight():
     assert packer.begun <= 1.03 * sum(lengths) / 1024 and packer.open <= 1024
 
 
+@pytest.mark.parametrize("size, open_most", [(1024, 1024), (64, 8), (30, 1)])
+def test_packing_equals_a_plain_best_fit(size, open_most):
+    rng = random.Random(4)
+    lengths = [min(size, rng.choice([1, 2, size // 2, size, rng.randint(1, size)])) for _ in range(4000)]
+    packer, free, begun, want = packing.BestFit(size, open_most), [], 0, []
+    for k in lengths:
+        fitting = [f for f in free if f >= k]
+        if fitting:
+            room = min(fitting)
+            free.remove(room)
+        else:
+            room, begun = size, begun + 1
+            if k < size and len(free) == open_most:
+                free.remove(min(free))
+        want.append(size - room)
+        if room > k:
+            free.append(room - k)
+    assert [packer.place(k)[1] for k in lengths] == want and packer.begun == begun
+
+
 def test_fullest_closes_first():
     packer = packing.BestFit(10, 2)
     assert [packer.place(k) for k in (6, 7, 8, 4)] == [(0, 0), (1, 0), (2, 0), (0, 6)]
