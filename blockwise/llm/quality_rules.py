@@ -167,7 +167,8 @@ def _distance(own: Column, reference: Column) -> Column:
         return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
 
     terms = F.zip_with(own, reference, lambda p, q: part(p, (p + q) / 2) + part(q, (p + q) / 2))
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, v: a + v) / 2, F.lit(0.0)))
+    distance = F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, v: a + v) / 2, F.lit(0.0)))
+    return F.when(own.isNotNull() & reference.isNotNull(), distance)  # greatest() alone would make 0 of null
 
 
 def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:

@@ -1,5 +1,6 @@
 """Quality rules against brute force, and the classifier's parts and held-out accuracy."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -41,6 +42,44 @@ def test_statistics_equal_brute_force(spark):
     assert all(not r.kept for r in got if r.base_failed)
 
 
+def shares(text):
+    """Shares of the character classes and of the common words, plainly."""
+    kinds = [r"[a-z]", r"[A-Z]", r"[0-9]", r"[\x20\x09-\x0D]", r"[.,;:?'\"()-]", r"[#*$%&|<>]", r"[!+/=@\[\\\]^_`{}~]", r"[^\x00-\x7F]", r"[\x00-\x08\x0E-\x1F\x7F]"]
+    words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    common = [words.count(w) for w in qr.COMMON_WORDS]
+    return [len(re.findall(k, text)) for k in kinds], [*common, len(words) - sum(common)]
+
+
+def distance(p, q):
+    p, q = ([x / sum(h) for x in h] for h in (p, q))
+    part = lambda a, b: sum(x * math.log2(x / ((x + y) / 2)) for x, y in zip(a, b, strict=True) if x)
+    return math.sqrt((part(p, q) + part(q, p)) / 2)
+
+
+def test_distances_equal_brute_force(spark):
+    rng = random.Random(9)
+    pieces = "the of Der und é 漢 river, stone. WINTER 12 #x a&b (of) la más the\x01 e-mail! new\nline tab\tbed".split(" ")
+    texts = [" ".join(rng.choice(pieces) + str(rng.randint(0, 99)) * rng.randint(0, 1) for _ in range(rng.choice([5, 30, 60, 150]))) for _ in range(120)]
+    rows = [(i, t, rng.choice(["en", "de", None]), "x", 1) for i, t in enumerate(texts)] + [(900, "XY " * 300, "none", "x", 1), (901, None, "en", "x", 1)]
+    sums = {}
+    for _, t, lang, *_ in rows:
+        if not plain(t)[-1]:
+            classes, common = shares(t)
+            if classes[5] <= 0.01 * sum(classes) and classes[1] <= 0.25 * sum(classes):
+                was = sums.get(lang, ([0] * len(classes), [0] * len(common)))
+                sums[lang] = tuple([x + y for x, y in zip(a, b, strict=True)] for a, b in zip(was, (classes, common), strict=True))
+    got, judged = {r.doc_id: r for r in qr.judge(spark.createDataFrame(rows, SCHEMA)).collect()}, 0
+    for i, t, lang, *_ in rows:
+        own, ref = shares(t or ""), sums.get(lang)
+        want = distance(own[0], ref[0]) if ref and len(t or "") >= 200 else None, distance(own[1], ref[1]) if ref and plain(t)[0] >= 40 else None
+        for x, y in zip((got[i].class_distance, got[i].word_distance), want, strict=True):
+            assert (x is None) == (y is None) and (y is None or abs(x - y) < 1e-9)
+            judged += y is not None
+        far = (want[0] or 0) > 0.19 or (want[1] or 0) > 0.5
+        assert got[i].kept == (not plain(t)[-1] and not far)
+    assert judged > 80 and len(sums) > 1
+
+
 def test_verdicts(spark):
     rng = random.Random(5)
     words = "the of and to in river stone winter meadow lantern harbour quiet copper violet orchard".split()
