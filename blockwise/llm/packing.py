@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_arrow, sliced, stored
+from .common import CHUNK_BYTES, in_arrow, sliced, stored
 from .tokens import encoder, with_end
 
 PIECES_PER_PACKER = 400_000
@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, vocabulary: str, end: int, size: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", CHUNK_BYTES // 2):
             ids, at = with_end(*coder.encode(batch.column("text")), end)
             owner, start, length = cut_lengths(np.diff(at), size)
             begin = (at[owner] + start) * 4

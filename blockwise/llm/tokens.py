@@ -10,7 +10,6 @@ contractions, strings of special tokens) go to the library whole.
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -88,9 +87,8 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.bare = Tokenizer(self.whole.model)
-        spec = json.loads(self.whole.to_str())
-        self.folds = spec["normalizer"] is not None
-        self.specials = [t["content"] for t in spec["added_tokens"]]
+        self.folds = self.whole.normalizer is not None
+        self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.kind = np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32
         self.clear()
 
