@@ -17,7 +17,9 @@ less one element (one-deletion neighbourhoods). Two sets that link share a signa
 
 Candidates are checked exactly, on the sets. Equal sets are one node from the start, so copies make
 no pairs, and a task emits the signatures of a set once. Pairs are bounded by sizes and by the
-parities of 512 hash cells, a lower bound of the sets' difference, before sets are compared.
+parities of 512 hash cells, a lower bound of the sets' difference, then by those of as many cells as
+both sets have elements, as 512 say nothing of sets beyond some thousand. Only sets of the pairs that
+are left are made again, written and compared.
 
 Nodes are named by 64 bits of two independent sums over the set, so two unlike sets would be taken
 for one with a chance of n * n / 2**65.
@@ -40,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import BROADCAST_ROWS, discard, free_name, free_shuffles, in_arrow, sliced, small_or_not, stored
+from .common import discard, free_name, free_shuffles, in_arrow, sliced, small_or_not, stored
 from .textnum import U64, Texts, mix
 
 CELLS = 512
@@ -176,30 +178,50 @@ def name_of(u: np.ndarray) -> int:
         return int(mix(two[:1] * U64(3) + two[1:]).astype(np.int64)[0])
 
 
-def parities(u: np.ndarray) -> np.ndarray:
-    """For CELLS cells, whether an odd number of the set's hashes falls there, in words of 64 bits."""
-    odd = (np.bincount((u & U64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1).astype(np.uint8)
+def parities(u: np.ndarray, cells: int = CELLS) -> np.ndarray:
+    """For `cells` cells, a power of two, whether an odd number of the set's hashes falls there, in words of 64 bits."""
+    odd = (np.bincount((u & U64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
+def sketch(u: np.ndarray) -> np.ndarray:
+    """The parities of at least twice as many cells as the set has elements."""
+    return parities(u, max(CELLS, 1 << (2 * len(u) - 1).bit_length()))
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the difference of the sets of two sketches: cells of unlike parity, the finer sketch folded to the coarser."""
+    if len(x) > len(y):
+        x, y = y, x
+    while len(x) < len(y):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count((x ^ y).view(U64)).sum())
+
+
 def _key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column of longs, without a copy."""
+    flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def _described(docs: DataFrame, n: int) -> DataFrame:
-    """row (a hash of doc_id and text), doc_id, node, size and parities of every row's set."""
+    """row (a hash of doc_id and text), doc_id, node, size, parities and sketch of every row's set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            own = [(name_of(u), len(u), parities(u)) if len(u) else (None, 0, None) for u in sets(batch.column("text"), n)]
-            nodes, sizes, cells = zip(*own, strict=True)
+            own = [(name_of(u), len(u), parities(u), sketch(u)) if len(u) else (None, 0, None, None) for u in sets(batch.column("text"), n)]
+            nodes, sizes, cells, sketches = zip(*own, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64()))],
-                names=["row", "doc_id", "node", "n", "cells"],
+                [batch.column("row"), batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                names=["row", "doc_id", "node", "n", "cells", "sketch"],
             )
 
-    return in_arrow(docs.select(_key().alias("row"), "doc_id", "text"), run, f"row long, doc_id {kind}, node long, n long, cells array<long>")
+    return in_arrow(docs.select(_key().alias("row"), "doc_id", "text"), run, f"row long, doc_id {kind}, node long, n long, cells array<long>, sketch array<long>")
 
 
 def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -236,11 +258,22 @@ def _linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
     buckets = linking.shared(_signed(docs, n, percent))
     free_shuffles(docs.sparkSession)
     of_interest = buckets.select("node").distinct()
-    nodes = told.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *[F.max(F.col("cells")[i]).alias(f"p{i}") for i in range(CELLS // 64)])
+    nodes = told.where("node is not null").groupBy("node").agg(F.min("row").alias("at"), F.max("n").alias("n"), *[F.max(F.col("cells")[i]).alias(f"p{i}") for i in range(CELLS // 64)])
     facts = stored(nodes.join(of_interest, "node", "left_semi"), "candidate-sets")
-    wanted = facts.select(F.col("doc_id").alias("wanted")).distinct()
-    wanted = F.broadcast(wanted) if facts.count() <= BROADCAST_ROWS else wanted
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    used = [buckets, facts]
+
+    def places(pairs: DataFrame) -> DataFrame:
+        """(node, at): the nodes of these pairs, and a row that has the set of each."""
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        used.append(out := stored(facts.select("node", "at").join(ends, "node", "left_semi"), "sets-of-pairs"))
+        return small_or_not(out)
+
+    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (_arrays(batch.column(c)) for c in ("a_sketch", "b_sketch"))
+            sizes = zip(batch.column("a_n").to_pylist(), batch.column("b_n").to_pylist(), strict=True)
+            keep = [least_difference(v, w) <= difference(*both, percent) for v, w, both in zip(x, y, sizes, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = set()
@@ -252,21 +285,26 @@ def _linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     found[name] = u.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["node", "elements"])
 
-    elements = in_arrow(texts, hashed, "node long, elements array<long>").join(facts.select("node"), "node", "left_semi")
-    elements = stored(elements.dropDuplicates(["node"]), "shingle-elements")
-
     def check(pairs: DataFrame) -> DataFrame:
+        sketches = told.select("row", "n", "sketch").join(places(pairs), F.col("row") == F.col("at")).select("node", "n", "sketch").dropDuplicates(["node"])
+        x, y = (sketches.select(F.col("node").alias(p), F.col("n").alias(f"{p}_n"), F.col("sketch").alias(f"{p}_sketch")) for p in ("a", "b"))
+        close = stored(in_arrow(pairs.join(x, "a").join(y, "b"), near, "a long, b long"), "close-pairs")
+        texts = docs.select("text", _key().alias("row")).join(places(close).drop("node"), F.col("row") == F.col("at"), "left_semi").select("text")
+        elements = stored(in_arrow(texts, hashed, "node long, elements array<long>").dropDuplicates(["node"]), "shingle-elements")
+        used.extend([close, elements])
+        free_shuffles(docs.sparkSession)
         x, y = (elements.select(F.col("node").alias(p), F.col("elements").alias(f"{p}_set")) for p in ("a", "b"))
         common = F.size(F.array_intersect("a_set", "b_set"))
         union = F.size("a_set") + F.size("b_set") - common
-        return pairs.join(x, "a").join(y, "b").where(common * 100 >= union * percent).select("a", "b")
+        return close.join(x, "a").join(y, "b").where(common * 100 >= union * percent).select("a", "b")
 
-    found, _ = linking.connect(buckets, facts.drop("doc_id"), _possible(percent), check)
+    found, _ = linking.connect(buckets, facts.drop("at"), _possible(percent), check)
     least = told.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = least.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = stored(named.join(smallest, "component").select("node", "component", "component_id"), "components")
-    discard(buckets, facts, elements)
+    discard(*used)
+    free_shuffles(docs.sparkSession)
     return told.select("row", "doc_id", "node", F.col("n").alias("n_shingles")).join(of_node, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
 
 

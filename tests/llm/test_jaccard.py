@@ -107,3 +107,29 @@ def test_hot_groups_stay_whole(spark):
     rows = [(i, " ".join([*words, f"own{i}"]), "x", 1) for i in range(400)] + [(1000 + i, "copied words " * 10, "x", 1) for i in range(400)]
     got = jj.link_documents(spark.createDataFrame(rows, SCHEMA))
     assert {r.component_id for r in got.collect()} == {0, 1000}
+
+
+def test_least_difference_bounds_the_difference():
+    rng = np.random.default_rng(3)
+    for size in (1, 40, 300, 700, 3000, 9000):
+        own = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        for share in (0, 0.3, 0.8, 0.95, 1):
+            other = np.unique(np.concatenate([own[: int(share * len(own))], rng.integers(0, 2**64, size // 5, dtype=np.uint64)]))
+            if len(other):
+                apart = len(np.setxor1d(own, other))
+                for x, y in ((own, other), (other, own)):
+                    assert jj.least_difference(jj.sketch(x), jj.sketch(y)) <= apart
+                if share < 0.5 and size >= 300:
+                    assert jj.least_difference(jj.sketch(own), jj.sketch(other)) > jj.difference(len(own), len(other), 80)
+
+
+def test_sets_of_unlike_texts_are_not_written(spark, monkeypatch):
+    """Long texts with a passage in common meet by small segments; their sets are left where sketches rule a link out."""
+    rng, rows = random.Random(4), {}
+    monkeypatch.setattr(jj, "stored", lambda df, name, own=jj.stored: rows.setdefault(name, []).append(out := own(df, name)) or rows.setdefault(f"n {name}", []).append(out.count()) or out)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(1500))
+    texts = [passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(1300)) for _ in range(30)]
+    texts.append(texts[0] + " and a few more")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in jj.keep_one(docs).collect()}
+    assert got == set(range(30)) and rows["n candidate-sets"][0] > 10 and sum(rows["n shingle-elements"]) == 2
